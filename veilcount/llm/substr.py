@@ -124,10 +124,10 @@ def repeats(docs: DataFrame, scratch: Scratch, least: int = LEAST, k: int = SEED
     found = known.join(picked, known["doc_id"] == picked["doc"]).select("doc_id", "text", "anchors")
     windows = scratch.put(found.mapInArrow(_windows(least, k), "w1 bigint, w2 bigint, doc bigint"), "windows")
     scratch.drop(picked)
-    lowest = windows.groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("w1", "w2", "lo")
+    lowest = scratch.put(windows.groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("w1", "w2", "lo"), "lowest")
     later = windows.join(lowest.hint("shuffle_hash"), ["w1", "w2"]).where("doc > lo")
     out = scratch.put(later.groupBy("doc").agg(F.collect_set("w1").alias("windows")), "repeats")
-    scratch.drop(windows)
+    scratch.drop(windows, lowest)
     return out
 
 
