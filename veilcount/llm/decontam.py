@@ -2,9 +2,9 @@
 
 Words are lower-cased runs of letters and digits.  Document frequencies of the
 benchmark's n-grams are counted over the whole corpus.  In every stretch of ``SPAN``
-consecutive n-grams of an item the rarest is a seed, so each part of an item has a
-seed however common its words are, and an item that fills the corpus still has
-them.  A seed found in a document proposes the stretch around it; local alignment
+consecutive n-grams of an item the rarest that occurs at all is a seed, so each part
+of an item has a seed however common its words are, and an item that fills the corpus
+still has them.  A seed found in a document proposes the stretch around it; local alignment
 (match +2, mismatch and gap -1) scores it, and score / (2 x item length) of at
 least ``THRESHOLD`` is a leak.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from veilcount.llm import _text
 from veilcount.llm._normal import normal_words
 
-GRAM, SPAN, THRESHOLD, BLOCK_WORDS = 3, 6, 0.5, 2_000_000
+GRAM, SPAN, THRESHOLD, BLOCK_WORDS = 3, 3, 0.5, 2_000_000
 MATCH, OTHER, SLACK = 2, -1, 8
 SCHEMA = "doc_id bigint, item_id bigint, score double, n_matched bigint, word_start bigint, word_end bigint"
 _BITS = 20
@@ -98,6 +98,7 @@ def seeds(block: Items, keys: Keys, df: np.ndarray, n: int = GRAM, span: int = S
     """(hash, item, position) of the rarest n-gram of every stretch of ``span`` n-grams of each item."""
     g, item, pos = block.grams(n)
     rare = df[np.searchsorted(keys.keys, g)] if len(g) else np.zeros(0, np.int64)
+    rare = np.where(rare > 0, rare, np.iinfo(np.int64).max)  # what occurs nowhere seeds nothing
     keep = np.zeros(len(g), bool)
     bounds = np.searchsorted(item, np.arange(len(block.ids) + 1))
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):

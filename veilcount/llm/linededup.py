@@ -111,7 +111,7 @@ def dedup(docs: DataFrame, least: int = LEAST, text: str = "text") -> DataFrame:
     """docs with ``text`` shortened, and the column __vc_spans: the deleted spans of lines (null: none)."""
     spans = runs(docs, Scratch(docs.sparkSession), least, text)
     keyed = docs.withColumn("__vc_d", F.col("doc_id").cast("bigint")).withColumn("__vc_k", F.xxhash64(text))
-    joined = keyed.join(spans.select(F.col("d").alias("__vc_e"), F.col("k").alias("__vc_l"), F.col("spans").alias("__vc_spans")), F.col("__vc_d").eqNullSafe(F.col("__vc_e")) & (F.col("__vc_k") == F.col("__vc_l")), "left")
+    joined = keyed.join(spans.select(F.col("d").alias("__vc_e"), F.col("k").alias("__vc_l"), F.col("spans").alias("__vc_spans")).hint("merge"), F.col("__vc_d").eqNullSafe(F.col("__vc_e")) & (F.col("__vc_k") == F.col("__vc_l")), "left")
     lines, cut = _lines(F.col(text)), F.col("__vc_spans")
     begin = F.concat(F.array(F.lit(0)), F.transform(cut, lambda s: s["last"] + 1))
     end = F.concat(F.transform(cut, lambda s: s["first"]), F.array(F.size(lines)))

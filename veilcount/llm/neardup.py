@@ -15,15 +15,17 @@ shingle: what has a share over HOT has one over HOT / 2 in some block, and block
 sums leave a number of candidates bounded by 2 / HOT times the shingles of a mean
 document; one more scan counts these exactly.
 
-Sampling: for each of ``2 * BANDS`` hash functions the sampled (shingle, t) of Ioffe
+Sampling: for each of ``BANDS * ROWS`` hash functions the sampled (shingle, t) of Ioffe
 (2010), with the Gamma(2, 1) variables from quantile tables indexed by hash bits.
-Two samples make a band; texts that agree in a band are candidates.  At similarity
-0.8 a link is missed by banding with probability 0.36^10 = 4e-5, and by the filter
-that at least ``AGREE`` of the 20 samples agree with 2e-5.  Every candidate that
-passes is verified on whole texts.
+Three samples make a band; texts that agree in one of 14 bands are candidates.  At
+similarity 0.8 a link is missed by banding with probability 0.488^14 = 4e-5.  Before
+whole texts are compared, one-permutation sketches of 512 bins sort out pairs that
+are more than four standard deviations below the threshold (pairs with a text of
+which over 2 % of the weight is repeats or below full weight skip this, as sketches
+are unweighted).  Every other candidate is verified on whole texts.
 
 Groups: no bucket is gathered or expanded into all its pairs.  In rounds, some
-members of each bucket are centres (chosen by hash; 3, 24, 192, ... of them) and
+members of each bucket are centres (chosen by hash; 4, 64, 1024, ... of them) and
 are compared with the members that are not yet in the centre's component.  A bucket
 ends when all its members are in one component or all have been centres, so every
 candidate pair is either compared or already joined through others.
@@ -40,14 +42,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilcount.llm import _text
 from veilcount.llm._graph import components
 from veilcount.llm._scratch import Scratch
 
-WORDS, THRESHOLD, BANDS, AGREE = 5, 0.8, 10, 8
+WORDS, THRESHOLD, BANDS, ROWS, BINS = 5, 0.8, 14, 3, 512
 HOT, FLOOR, PSEUDO = 0.25, 0.05, 100
 #: A block for local frequencies has about this many shingles.
 LOCAL = 4_000_000
@@ -85,11 +87,46 @@ def shingles(w: _text.Words, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np
             whole = _text.mix(_text.grams(h, size)[w.first[short]] + U(size))
             at = np.searchsorted(doc, short)
             found, doc = np.insert(found, at, whole), np.insert(doc, at, short)
-    salted = found ^ _text.mix(doc.astype(U) + U(1))
-    _, first, tf = np.unique(salted, return_index=True, return_counts=True)
-    order = np.argsort(first)
-    first, tf = first[order], tf[order]
-    return found[first], doc[first], tf
+    # documents are in order: sort the hashes within each by their leading bits
+    order = np.argsort((doc.astype(U) << U(40)) | (found >> U(24))) if len(w.first) <= 1 << 24 else np.lexsort((found, doc))
+    found, doc = found[order], doc[order]
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    return found[at], doc[at], np.diff(at, append=len(found))
+
+
+def sketches(g: np.ndarray, doc: np.ndarray, m: int) -> np.ndarray:
+    """(m, BINS / 16) words of 16 nibbles: for each bin of hashes a trace, 1 to 15, of the smallest; 0 for none.
+
+    g is in order within each document.
+    """
+    out = np.zeros(m * BINS, U)
+    place = doc * BINS + (g >> U(65 - BINS.bit_length())).astype(np.int64)
+    head = np.ones(len(g), bool)
+    head[1:] = place[1:] != place[:-1]
+    out[place[head]] = _text.mix(g[head]) % U(15) + U(1)
+    return (out.reshape(m, BINS // 16, 16) << (U(4) * np.arange(16, dtype=U))).sum(axis=2, dtype=U)
+
+
+def _alike(x: str, y: str) -> Column:
+    """Whether the sketches of two texts allow a similarity of ``THRESHOLD``, but for four standard deviations.
+
+    At similarity J the union has u = (nx + ny) / (1 + J) shingles that fill f bins; of these a share 14 / 15 (1 - J)
+    differs.  f of u are drawn without replacement, which narrows the spread by 1 - f / u.
+    """
+    nibbles = F.lit(0x1111111111111111)
+
+    def unequal(i: int) -> Column:
+        d = F.col(f"{x}.s{i}").bitwiseXOR(F.col(f"{y}.s{i}"))
+        two = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        return F.bit_count(two.bitwiseOR(F.shiftrightunsigned(two, 2)).bitwiseAND(nibbles))
+
+    other = sum((unequal(i) for i in range(1, BINS // 16)), unequal(0))
+    u = (F.col(f"{x}.shingles") + F.col(f"{y}.shingles")) / (1 + THRESHOLD)
+    f = BINS * (1 - F.exp(-u / BINS))
+    spread = F.sqrt(f * (THRESHOLD * (1 - THRESHOLD) * (1 - f / u) + 0.0125) + 0.2 * (1 - THRESHOLD) ** 2 * f)
+    return other <= f * (14 / 15 * (1 - THRESHOLD)) + 4 * spread + 1
 
 
 _tables: list[np.ndarray] = []
@@ -201,15 +238,20 @@ def idf(docs: DataFrame, scratch: Scratch, hot: float = HOT, k: int = WORDS) ->
     return Idf(keys, values)
 
 
-def _sketch(weights: Idf, bands: int, k: int):
+def _sketch(weights: Idf, bands: int, rows: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, w in _text.word_blocks(batch.column(3)):
                 g, doc, tf = shingles(w, k)
-                sig = _text.signed(samples(g, doc, tf * weights.of(g), j - i, 2 * bands))
+                m = j - i
+                weight = tf * weights.of(g)
+                off = np.bincount(doc, np.abs(weight - 1), m) > 0.02 * np.bincount(doc, weight, m)
                 keep = np.flatnonzero(w.counts() > 0)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * 2 * bands, pa.int32()), pa.array(sig[keep].reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i).take(pa.array(keep)) for c in range(3)), flat], ["doc_id", "t1", "t2", "sig"])
+                lists = []
+                for x in (samples(g, doc, weight, m, rows * bands), sketches(g, doc, m)):
+                    flat = _text.signed(x)[keep]
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * flat.shape[1], pa.int32()), pa.array(flat.reshape(-1))))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, m).take(pa.array(keep)) for c in range(3)), *lists, pa.array(off[keep]), pa.array(np.bincount(doc, minlength=m)[keep].astype(float))], ["doc_id", "t1", "t2", "sig", "bins", "uneven", "shingles"])
 
     return run
 
@@ -244,44 +286,48 @@ class Found(NamedTuple):
     classes: DataFrame  # node, comp
 
 
-def search(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, agree: int = AGREE, hot: float = HOT, k: int = WORDS) -> Found:
+def search(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, hot: float = HOT, k: int = WORDS) -> Found:
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).where("doc_id is not null")
+    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).where("doc_id is not null")
     weights = idf(docs, scratch, hot, k)
-    keyed = rows.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"), "text")
-    sketch = scratch.put(keyed.where("text is not null").mapInArrow(_sketch(weights, bands, k), "doc_id bigint, t1 bigint, t2 bigint, sig array<bigint>"), "sketch")
+    keyed = named.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"), "text")
+    sketch = scratch.put(keyed.where("text is not null").mapInArrow(_sketch(weights, bands, rows, k), "doc_id bigint, t1 bigint, t2 bigint, sig array<bigint>, bins array<bigint>, uneven boolean, shingles double"), "sketch")
     reps = sketch.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"))
     same = scratch.put(sketch.select("doc_id", "t1", "t2").join(reps, ["t1", "t2"]).select("doc_id", "rep", (F.col("doc_id") == F.col("rep")).alias("lead")).distinct(), "same")
-    nodes = scratch.put(sketch.join(reps.select("t1", "t2", F.col("rep").alias("doc_id")), ["t1", "t2", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "sig").dropDuplicates(), "nodes")
+    nodes = scratch.put(sketch.join(reps.select("t1", "t2", F.col("rep").alias("doc_id")), ["t1", "t2", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "sig", "bins", "uneven", "shingles").dropDuplicates(["node", "sig"]), "nodes")
     scratch.drop(sketch)
-    band = F.explode(F.array(*(F.xxhash64(F.lit(b), F.col("sig")[2 * b], F.col("sig")[2 * b + 1]) for b in range(bands))))
-    rungs = nodes.select("node", band.alias("key"))
+    keys = [F.xxhash64(F.lit(b), *(F.col("sig")[rows * b + r] for r in range(rows))) for b in range(bands)]
+    rungs = nodes.select("node", F.posexplode(F.array(*keys)).alias("band", "key"))
     buckets = rungs.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    members = scratch.put(rungs.join(buckets, "key").select("key", "node", "n", "lo"), "members")
+    members = scratch.put(rungs.join(buckets, "key").select("key", "band", "node", "n", "lo"), "members")
     met = members.select("node").distinct()
-    sigs = scratch.put(nodes.join(met, "node", "left_semi"), "sigs")
-    texts = scratch.put(rows.join(met, rows["doc_id"] == met["node"]).select("node", "text"), "texts")
+    bins = scratch.put(nodes.join(met, "node", "left_semi").select("node", "uneven", "shingles", *(F.col("bins")[i].alias(f"s{i}") for i in range(BINS // 16)), *(k.alias(f"k{b}") for b, k in enumerate(keys))), "bins")
+    parts = [F.coalesce(c, F.lit(False) if c == "uneven" else F.lit(0)).alias(c) for c in bins.columns]  # never null: shorter code in the join
+    texts = scratch.put(named.join(met, named["doc_id"] == met["node"]).select("node", "text"), "texts")
     scratch.drop(nodes)
     tested = links = None
-    centres, largest, classes = 3, members.agg(F.max("n")).first()[0] or 0, None
+    centres, largest, classes = 4, members.agg(F.max("n")).first()[0] or 0, None
     while True:
-        here = members if classes is None else members.join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        here = here if classes is not None else here.withColumn("comp", F.col("node"))
-        if classes is not None:  # buckets that are one component, or whose members have all been centres, are done
+        if classes is None:
+            here = members.withColumn("comp", F.col("node"))
+        else:  # buckets that are one component, or whose members have all been centres, are done
+            here = members.where(F.col("n") > centres // 16).join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             still = here.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
-            here = here.where(F.col("n") > centres // 8).join(still, "key", "left_semi")
-        draw = F.pmod(F.xxhash64("key", "node", F.lit(centres)), F.lit(1_000_003))
-        chosen = here.where((F.col("n") <= centres) | (draw < F.lit(1_000_003 * centres) / F.col("n")) | (F.col("node") == F.col("lo")))
-        left = chosen.select("key", F.col("node").alias("x"), F.col("comp").alias("cx"))
-        met_pairs = left.join(here.select("key", F.col("node").alias("y"), F.col("comp").alias("cy")), "key").where("cx <> cy")
-        pairs = met_pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            here = here.join(still, "key", "left_semi")
+        here = here.join(bins.select(*parts), "node")
+        draw = F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(1_000_003))
+        here = here.withColumn("centre", (F.col("n") <= centres) | (draw < F.lit(1_000_003 * centres) / F.col("n")) | (F.col("node") == F.col("lo")))
+        x, y = here.where("centre").alias("x"), here.alias("y")
+        # two centres meet once, and two texts in the first band that they share
+        first = sum((((F.col("x.band") > b) & (F.col(f"x.k{b}") == F.col(f"y.k{b}"))).cast("int") for b in range(bands - 1)), F.lit(0)) == 0
+        apart = (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.centre") | (F.col("x.node") < F.col("y.node")))
+        may = (F.col("x.key") == F.col("y.key")) & apart & first & (F.col("x.uneven") | F.col("y.uneven") | _alike("x", "y"))
+        pairs = x.join(y, may).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        equal = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, x: s + x)
-        likely = pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b").where(equal >= agree).select("a", "b")
-        todo = scratch.put(likely.distinct(), "pairs")
-        side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-        both = todo.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+        todo = scratch.put(pairs, "pairs")
+        text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+        both = todo.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
         found = scratch.put(both.mapInArrow(_verify(weights, k), "a bigint, b bigint, similarity double").where(F.col("similarity") >= threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
         tested = todo if tested is None else tested.union(todo)
         links = found if links is None else links.union(found)
@@ -289,7 +335,7 @@ def search(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ag
             classes = components(links.select("a", "b"), scratch)
         if centres >= largest:
             break
-        centres *= 8
+        centres *= 16
     documents = same.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     # rows of one doc_id with different texts tie those texts together
     ties = same.where("doc_id <> rep").join(same.where("lead").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

@@ -134,10 +134,12 @@ def train(docs: DataFrame, ratings: DataFrame, levels: int, sample: int = SAMPLE
     drawn = named.where(F.pmod(F.xxhash64(F.lit(23), "rated"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).where("text is not null")
     rows = texts.join(drawn, texts["doc_id"] == drawn["rated"]).select("grade", "text").mapInArrow(_featured, "grade int, x array<int>")
-    rows = rows.orderBy("grade", F.xxhash64("x")).limit(sample).toPandas()
-    if not len(rows):
+    got = rows.orderBy("grade", F.xxhash64("x")).limit(sample).toArrow().combine_chunks()
+    if not got.num_rows:
         return None
-    return fit([np.asarray(x, np.int64) for x in rows["x"]], rows["grade"].to_numpy(np.int64), levels)
+    lists = got["x"].combine_chunks()
+    values, at = np.asarray(lists.flatten()), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    return fit([values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], np.asarray(got["grade"].combine_chunks()).astype(np.int64), levels)
 
 
 def score(docs: DataFrame, model: Model | None, levels: int, min_grade: float = MIN_GRADE, min_tail: float = MIN_TAIL) -> DataFrame:
