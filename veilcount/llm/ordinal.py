@@ -8,7 +8,9 @@ number of buckets) sent along.
 
 Features are present or absent: normalised words, word pairs, and shapes (share of
 symbols, of capitals, of repeated words, length), so one telling word in a long text
-counts in full.
+counts in full.  Only features whose grades depart from the sample's by ``MIN_Z``
+standard deviations at some threshold are given a weight; the thousands of chance
+words of a text would drown the few that tell.
 
 Selection: kept when the expected grade is at least ``MIN_GRADE`` and
 P(grade >= 1) at least ``MIN_TAIL``.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from veilcount.llm import _text
 from veilcount.llm._normal import normal
 
-BUCKETS, SAMPLE, EPOCHS, RATE, DECAY = 1 << 18, 12_000, 12, 0.1, 2e-6
+BUCKETS, SAMPLE, EPOCHS, RATE, DECAY, MIN_Z = 1 << 18, 12_000, 12, 0.1, 1e-4, 4.0
 MIN_GRADE, MIN_TAIL = 1.0, 0.5
 _SHAPES = 256
 
@@ -84,6 +86,13 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY, seed: int = 7) -> Model:
     """AdaGrad over batches of 32 rows; thresholds stay ordered."""
     w, square = np.zeros(BUCKETS, np.float64), np.full(BUCKETS, 1e-4)
+    every, owner = np.concatenate(rows), np.repeat(grades, [len(x) for x in rows])
+    n, tells = np.bincount(every, minlength=BUCKETS), np.zeros(BUCKETS, bool)
+    for k in range(levels - 1):
+        q = np.clip((grades > k).mean(), 0.01, 0.99)
+        above = np.bincount(every[owner > k], minlength=BUCKETS)
+        tells |= np.abs(above - n * q) >= MIN_Z * np.sqrt(n * q * (1 - q)) + 1
+    rows = [x[tells[x]] for x in rows]
     share = np.clip([(grades > k).mean() for k in range(levels - 1)], 0.01, 0.99)
     theta = -np.log(share / (1 - share))
     theta_square = np.full(levels - 1, 1e-2)
@@ -95,8 +104,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = E
             pick = order[b : b + 32]
             key = np.concatenate([rows[i] for i in pick])
             doc = np.repeat(np.arange(len(pick)), sizes[pick])
-            scale = 1 / np.sqrt(sizes[pick])
-            z = np.bincount(doc, w[key], len(pick)) * scale
+            z = np.bincount(doc, w[key], len(pick))
             g = grades[pick]
             cumulative = np.concatenate([np.ones((len(pick), 1)), _sigmoid(z[:, None] - theta), np.zeros((len(pick), 1))], axis=1)
             slope = cumulative * (1 - cumulative)
@@ -107,7 +115,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, levels: int, epochs: int = E
             dt[at, g] += slope[at, g] / p
             dt[at, g + 1] -= slope[at, g + 1] / p
             used, inverse = np.unique(key, return_inverse=True)
-            grad = np.bincount(inverse, (dz * scale)[doc]) + decay * w[used]
+            grad = np.bincount(inverse, dz[doc], len(used)) + decay * w[used]
             square[used] += grad**2
             w[used] -= rate * grad / np.sqrt(square[used])
             grad_t = dt[:, 1:-1].sum(axis=0)
@@ -120,7 +128,7 @@ def probabilities(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndar
     """(documents, levels - 1): P(grade > k)."""
     key, doc = features(buf, offsets)
     m = len(offsets) - 1
-    z = np.bincount(doc, model.weights[key], m) / np.sqrt(np.maximum(np.bincount(doc, minlength=m), 1))
+    z = np.bincount(doc, model.weights[key], m)
     return _sigmoid(z[:, None] - model.thresholds)
 
 
