@@ -28,7 +28,10 @@ Groups: no bucket is gathered or expanded into all its pairs.  In rounds, some
 members of each bucket are centres (chosen by hash; 4, 64, 1024, ... of them) and
 are compared with the members that are not yet in the centre's component.  A bucket
 ends when all its members are in one component or all have been centres, so every
-candidate pair is either compared or already joined through others.
+candidate pair is either compared or already joined through others.  Sketches and
+texts of documents without a candidate are not shuffled: a bitmap of fixed size, by
+hash of doc_id, sorts most of them out where they are read (were it full, rows would
+take the exact join as they would without it).
 
 Defined cases: texts without words (null, empty, blank) are alike to nothing; rows
 of one doc_id count as one document; rows with null doc_id have no class and no
@@ -51,6 +54,8 @@ from veilcount.llm._scratch import Scratch
 
 WORDS, THRESHOLD, BANDS, ROWS, BINS = 5, 0.8, 14, 3, 512
 HOT, FLOOR, PSEUDO = 0.25, 0.05, 100
+#: A sieve has at most 2 ** SIEVE rows of 64 bits.
+SIEVE = 18
 #: A block for local frequencies has about this many shingles.
 LOCAL = 4_000_000
 U = _text.U
@@ -280,6 +285,17 @@ def _verify(weights: Idf, k: int):
     return run
 
 
+def _sieve(nodes: DataFrame) -> DataFrame:
+    """(word, bits): the hashes that the nodes have, in a bitmap whose size does not depend on their number."""
+    return nodes.groupBy(F.shiftrightunsigned(F.xxhash64("node"), 64 - SIEVE).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(xxhash64(node) & 63 as int)))").alias("bits"))
+
+
+def _sifted(df: DataFrame, node: str, sieve: DataFrame) -> DataFrame:
+    """The rows of which the sieve has the hash: all that match one of its nodes, and some others."""
+    found = df.join(F.broadcast(sieve), F.shiftrightunsigned(F.xxhash64(node), 64 - SIEVE) == F.col("word"))
+    return found.where(F.expr(f"getbit(bits, cast(xxhash64({node}) & 63 as int)) = 1")).select(*df.columns)
+
+
 class Found(NamedTuple):
     documents: DataFrame  # doc_id, rep: the smallest doc_id of the same text
     links: DataFrame  # a, b, similarity: verified, between representatives
@@ -292,18 +308,21 @@ def search(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     weights = idf(docs, scratch, hot, k)
     keyed = named.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"), "text")
     sketch = scratch.put(keyed.where("text is not null").mapInArrow(_sketch(weights, bands, rows, k), "doc_id bigint, t1 bigint, t2 bigint, sig array<bigint>, bins array<bigint>, uneven boolean, shingles double"), "sketch")
-    reps = sketch.groupBy("t1", "t2").agg(F.min("doc_id").alias("rep"))
+    # what follows from the text is the same in all of its copies
+    nodes = scratch.put(sketch.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("sig", "bins", "uneven", "shingles"))), "nodes")
+    reps = nodes.select("t1", "t2", F.col("node").alias("rep"))
     same = scratch.put(sketch.select("doc_id", "t1", "t2").join(reps, ["t1", "t2"]).select("doc_id", "rep", (F.col("doc_id") == F.col("rep")).alias("lead")).distinct(), "same")
-    nodes = scratch.put(sketch.join(reps.select("t1", "t2", F.col("rep").alias("doc_id")), ["t1", "t2", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "sig", "bins", "uneven", "shingles").dropDuplicates(["node", "sig"]), "nodes")
     scratch.drop(sketch)
     keys = [F.xxhash64(F.lit(b), *(F.col("sig")[rows * b + r] for r in range(rows))) for b in range(bands)]
     rungs = nodes.select("node", F.posexplode(F.array(*keys)).alias("band", "key"))
     buckets = rungs.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     members = scratch.put(rungs.join(buckets, "key").select("key", "band", "node", "n", "lo"), "members")
-    met = members.select("node").distinct()
-    bins = scratch.put(nodes.join(met, "node", "left_semi").select("node", "uneven", "shingles", *(F.col("bins")[i].alias(f"s{i}") for i in range(BINS // 16)), *(k.alias(f"k{b}") for b, k in enumerate(keys))), "bins")
+    met = scratch.put(members.select("node").distinct(), "met")
+    sieve = scratch.put(_sieve(met), "sieve")
+    met = met.hint("merge")
+    bins = scratch.put(_sifted(nodes, "node", sieve).join(met, "node", "left_semi").select("node", "uneven", "shingles", *(F.col("bins")[i].alias(f"s{i}") for i in range(BINS // 16)), *(k.alias(f"k{b}") for b, k in enumerate(keys))), "bins")
     parts = [F.coalesce(c, F.lit(False) if c == "uneven" else F.lit(0)).alias(c) for c in bins.columns]  # never null: shorter code in the join
-    texts = scratch.put(named.join(met, named["doc_id"] == met["node"]).select("node", "text"), "texts")
+    texts = scratch.put(_sifted(named, "doc_id", sieve).join(met, F.col("doc_id") == F.col("node")).select("node", "text"), "texts")
     scratch.drop(nodes)
     tested = links = None
     centres, largest, classes = 4, members.agg(F.max("n")).first()[0] or 0, None
