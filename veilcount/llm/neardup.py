@@ -364,10 +364,9 @@ def search(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
 
 
 def classes(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, class_id (smallest doc_id of its class), n_links (links of its text to different texts)."""
+    """One row per document: doc_id, class_id (smallest doc_id of its class)."""
     found = search(docs, **options)
-    ends = found.links.select(F.col("a").alias("rep")).union(found.links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    known = found.documents.join(found.classes, F.col("rep") == F.col("node"), "left").join(ends, "rep", "left")
+    known = found.documents.join(found.classes, F.col("rep") == F.col("node"), "left")
     everyone = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-    named = known.select(F.col("doc_id").alias("id"), F.coalesce("comp", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    return everyone.join(named, everyone["doc_id"] == named["id"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+    named = known.select(F.col("doc_id").alias("id"), F.coalesce("comp", "rep").alias("class_id"))
+    return everyone.join(named, everyone["doc_id"] == named["id"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
