@@ -25,7 +25,7 @@ which over 2 % of the weight is repeats or below full weight skip this, as sketc
 are unweighted).  Every other candidate is verified on whole texts.
 
 Groups: no bucket is gathered or expanded into all its pairs.  In rounds, some
-members of each bucket are centres (chosen by hash; 4, 64, 1024, ... of them) and
+members of each bucket are centres (chosen by hash; 4, 256, 16384, ... of them) and
 are compared with the members that are not yet in the centre's component.  A bucket
 ends when all its members are in one component or all have been centres, so every
 candidate pair is either compared or already joined through others.  Sketches and
@@ -54,6 +54,8 @@ from veilcount.llm._scratch import Scratch
 
 WORDS, THRESHOLD, BANDS, ROWS, BINS = 5, 0.8, 14, 3, 512
 HOT, FLOOR, PSEUDO = 0.25, 0.05, 100
+#: Each round has this many times the centres of the one before.
+STEP = 64
 #: A sieve has at most 2 ** SIEVE rows of 64 bits.
 SIEVE = 18
 #: A block for local frequencies has about this many shingles.
@@ -279,8 +281,8 @@ def _verify(weights: Idf, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            j = np.array([similarity(a, b) for a, b in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True)], float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j)], ["a", "b", "similarity"])
+            j = np.array([similarity(a, b) for a, b in zip(sets(batch.column(4)), sets(batch.column(5)), strict=True)], float)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(j)], ["a", "b", "ca", "cb", "similarity"])
 
     return run
 
@@ -296,6 +298,13 @@ def _sifted(df: DataFrame, node: str, sieve: DataFrame) -> DataFrame:
     return found.where(F.expr(f"getbit(bits, cast(xxhash64({node}) & 63 as int)) = 1")).select(*df.columns)
 
 
+def _joined(classes: DataFrame, over: DataFrame) -> DataFrame:
+    """(node, comp): classes whose components are joined as over, the components of components, says; nodes new in over come in."""
+    up = over.select(F.col("node").alias("from"), F.col("comp").alias("to"))
+    risen = classes.join(up, classes["comp"] == up["from"], "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return risen.union(over.join(classes.select("node"), "node", "left_anti").select("node", "comp"))
+
+
 class Found(NamedTuple):
     documents: DataFrame  # doc_id, rep: the smallest doc_id of the same text
     links: DataFrame  # a, b, similarity: verified, between representatives
@@ -330,7 +339,7 @@ def search(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
         if classes is None:
             here = members.withColumn("comp", F.col("node"))
         else:  # buckets that are one component, or whose members have all been centres, are done
-            here = members.where(F.col("n") > centres // 16).join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            here = members.where(F.col("n") > centres // STEP).join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             still = here.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
             here = here.join(still, "key", "left_semi")
         here = here.join(bins.select(*parts), "node")
@@ -341,20 +350,24 @@ def search(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
         first = sum((((F.col("x.band") > b) & (F.col(f"x.k{b}") == F.col(f"y.k{b}"))).cast("int") for b in range(bands - 1)), F.lit(0)) == 0
         apart = (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.centre") | (F.col("x.node") < F.col("y.node")))
         may = (F.col("x.key") == F.col("y.key")) & apart & first & (F.col("x.uneven") | F.col("y.uneven") | _alike("x", "y"))
-        pairs = x.join(y, may).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        pairs = x.join(y, may).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.comp", "y.comp").alias("ca"), F.greatest("x.comp", "y.comp").alias("cb")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         todo = scratch.put(pairs, "pairs")
-        text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-        both = todo.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
-        found = scratch.put(both.mapInArrow(_verify(weights, k), "a bigint, b bigint, similarity double").where(F.col("similarity") >= threshold).groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
-        tested = todo if tested is None else tested.union(todo)
-        links = found if links is None else links.union(found)
-        if classes is None or not found.isEmpty():
-            classes = components(links.select("a", "b"), scratch)
+        if links is None or not todo.isEmpty():
+            text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+            both = todo.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ca", "cb", "text_a", "text_b")
+            found = both.mapInArrow(_verify(weights, k), "a bigint, b bigint, ca bigint, cb bigint, similarity double").where(F.col("similarity") >= threshold)
+            found = scratch.put(found.groupBy("a", "b", "ca", "cb").agg(F.max("similarity").alias("similarity")), "links")
+            tested = todo.select("a", "b") if tested is None else tested.union(todo.select("a", "b"))
+            links = found.drop("ca", "cb") if links is None else links.union(found.drop("ca", "cb"))
+            if classes is None:
+                classes = scratch.put(components(found.select("a", "b"), scratch), "classes")
+            elif not found.isEmpty():
+                classes = scratch.put(_joined(classes, components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch)), "classes")
         if centres >= largest:
             break
-        centres *= 16
+        centres *= STEP
     documents = same.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     # rows of one doc_id with different texts tie those texts together
     ties = same.where("doc_id <> rep").join(same.where("lead").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
