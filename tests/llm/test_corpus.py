@@ -143,6 +143,21 @@ def test_fertility_cases(edge, none):
     assert fertility.judge(none, path).count() == 0
 
 
+@pytest.fixture(scope="module")
+def judged(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    return fertility.judge(docs, vocabulary("piece_bpe_32k.model")).join(docs.select("doc_id", "text"), "doc_id").toPandas()
+
+
+def test_fertility_rejects_junk_and_keeps_clean_text(judged):
+    rows = judged[~judged["base_failed"]]
+    gone = set(rows.loc[rows["fertility_failed"], "doc_id"])
+    assert gone >= {39, 40, 101, 1418}
+    share = rows["n_symbols"] / rows["n_words"]
+    assert rows.loc[share >= 1, "fertility_failed"].mean() > 0.85
+    assert rows.loc[share < 0.2, "fertility_failed"].mean() < 0.015
+
+
 def shingles(text):
     w = WORD.findall(text or "")
     return collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])

@@ -9,7 +9,8 @@ on its length, so length classes are powers of two of the token count.  Bands
 come from exact quantiles of binned measures over all documents, by grouped
 aggregation; what is sent on is bounded by languages x length classes x bins.
 
-A measure is rejected outside [q50 - spread (q50 - q05) - slack, q50 + spread (q95 - q50) + slack];
+A measure is rejected outside [q50 - spread (q50 - q25) - slack, q50 + spread (q75 - q50) + slack].
+Quartiles do not move while less than a quarter of a class is junk on one side, so junk does not set its own band;
 classes of fewer than ``least`` documents reject nothing.
 
 Defined cases: null or empty text has no words and fails the base rules; a null
@@ -34,7 +35,7 @@ from veilcount.llm._scratch import Scratch
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 SPREAD, LEAST = 4.0, 50
 #: (measure, bin width, slack): a band is never narrower than the slack on either side.
-MEASURES = (("chars_per_token", 0.01, 0.5), ("byte_share", 0.0025, 0.03), ("token_entropy", 0.02, 0.5))
+MEASURES = (("chars_per_token", 0.01, 0.05), ("byte_share", 0.0025, 0.01), ("token_entropy", 0.02, 0.1))
 SCHEMA = "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double"
 
 _caches: dict[str, tuple] = {}
@@ -142,7 +143,7 @@ def bands(measured: DataFrame, spread: float = SPREAD, least: int = LEAST) -> Da
     w = W.partitionBy("band", "size", "m").orderBy("bin")
     ranked = bins.withColumn("upto", F.sum("n").over(w)).withColumn("of", F.sum("n").over(W.partitionBy("band", "size", "m")))
     q = lambda p: F.min(F.when(F.col("upto") >= F.lit(p) * F.col("of"), F.col("bin")))
-    cut = ranked.groupBy("band", "size", "m").agg(F.max("of").alias("n"), q(0.05).alias("a"), q(0.5).alias("b"), q(0.95).alias("c"))
+    cut = ranked.groupBy("band", "size", "m").agg(F.max("of").alias("n"), q(0.25).alias("a"), q(0.5).alias("b"), q(0.75).alias("c"))
     out = cut.groupBy("band", "size").agg(
         F.max("n").alias("n"),
         *(
