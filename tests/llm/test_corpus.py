@@ -4,6 +4,7 @@ import collections
 import hashlib
 import re
 import struct
+import textwrap
 import zlib
 
 import duckdb
@@ -276,6 +277,22 @@ def test_licenses(spark, edge, none):
     assert licenses.scan(edge).where("licenses = 'MIT'").count() == 1 and licenses.scan(none).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    known = {licenses.plain(s): str(i) for i, s in licenses.SENTENCES.items()}  # 21 and 24 differ in a sign only
+    one = lambda i: known[licenses.plain(licenses.SENTENCES[i])]
+    whole = [(i, s, one(i), None) for i, s in licenses.SENTENCES.items()]
+    rules = [(1000 + k, "\n\n".join(licenses.SENTENCES[i] for i in ids), ",".join(map(one, ids)), name) for k, (ids, name) in enumerate(licenses.RULES)]
+    rows = whole + rules
+    wrap = lambda t, w: "\n\n".join("\n".join(textwrap.wrap(p, w)) for p in t.split("\n\n"))
+    for width in (10**6, 72, 40):
+        docs = spark.createDataFrame([(i, wrap(t, width)) for i, t, *_ in rows], "doc_id bigint, text string")
+        got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+        for i, _, ids, name in rows:
+            assert got[i]["sentence_ids"] == ids and (name is None or got[i]["licenses"] == name), (width, i)
+    apart = spark.createDataFrame([(1, "All\n\nrights reserved."), (2, "All. rights reserved."), (3, "MIT License\nall of it"), (4, "# All rights\r\n# reserved.\r\n")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["sentence_ids"] for r in licenses.scan(apart).collect()} == {1: "", 2: "", 3: "12", 4: "50"}
+
+
 def test_pipeline_stages(spark, edge, none):
     docs = edge.drop("h1", "rank")
     for name, stage in corpus_pipeline.STAGES[:-1]:

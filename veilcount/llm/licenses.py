@@ -1,8 +1,11 @@
 """License scan by sentence rules. DataFrame functions only.
 
-A text is cut into sentences at line ends and after . ; : ! ? before white space.
-Normalised sentences (lower case, letters and digits only, single spaces) are looked
-up in a table of known licence sentences; the identifiers of those that are known, in
+A text is cut at line ends and after . ; : ! ? before white space.  Known licence
+sentences are looked for in its normalised form (lower case, letters and digits only,
+single spaces), each from a cut to a cut; within one, a single line end and the cut after
+"v." count as a space, so wrapped sentences are found, but blank lines and sentence ends
+do not.  Where several start at one place the longest is taken; those of one normalised
+form have one identifier, the last, in results and rules.  The identifiers of those that are known, in
 order, are matched against ordered licence rules.  A rule matches where its
 identifiers follow one another among the known ones; longer rules win over rules they
 contain.
@@ -87,8 +90,9 @@ RULES = (
 )
 #: Every normalised known sentence has one of these words; checked in the tests.
 WORDS = ("license", "licensed", "copyright", "copy", "rights", "permission", "redistribution", "redistribute", "software", "domain", "copying")
-BREAK = r"\n|(?<=[.;:!?])[\x20\x09-\x0D]+"
-OTHER = r"[^\p{L}\p{N}]+"
+#: Sentence ends, and the cut after an abbreviation, which may stand within a sentence.
+END, SHORT = r"(?<=[.;:!?])(?<!\b[vV]\.)[\x20\x09-\x0D]+", r"(?<=\b[vV]\.)[\x20\x09-\x0D]+"
+OTHER = r"[^\p{L}\p{N}\n]+"
 
 
 def plain(sentence: str) -> str:
@@ -96,7 +100,9 @@ def plain(sentence: str) -> str:
 
 
 def _plain(c: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(c), OTHER, " "))
+    """Normalised text: a line feed for a cut that a sentence may run across, two or more for one that it may not."""
+    cut = F.regexp_replace(F.regexp_replace(c, END, "\n\n"), SHORT, "\n")
+    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(cut), OTHER, " "), " ?\n ?", "\n"), F.lit(" "))
 
 
 def _known() -> dict[str, int]:
@@ -107,7 +113,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_sentences (known ones), sentence_ids (in order, joined by commas), licenses (sorted names, joined by commas)."""
     table = F.create_map(*(F.lit(x) for pair in _known().items() for x in pair))
     likely = F.col("text").rlike("(?i)" + "|".join(WORDS))
-    found = F.filter(F.transform(F.split("text", BREAK), lambda s: F.try_element_at(table, _plain(s))), lambda i: i.isNotNull())
+    any_of = "|".join(s.replace(" ", r"[ \n]") for s in sorted(_known(), key=len, reverse=True))
+    whole = rf"(?<![^\n])(?:{any_of})(?![^\n])"
+    found = F.transform(F.regexp_extract_all(_plain(F.col("text")), F.lit(whole), F.lit(0)), lambda s: F.try_element_at(table, F.translate(s, "\n", " ")))
     ids = F.when(likely, found).otherwise(F.array().cast("array<int>"))
     known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
     trail = known.withColumn("trail", F.concat(F.lit("|"), F.array_join("ids", "||"), F.lit("|")))
@@ -115,7 +123,8 @@ def scan(docs: DataFrame) -> DataFrame:
     # a longer rule takes its trail away from the rules that it contains
     rest: Column = F.col("trail")
     hits = []
-    for ids_of, name in sorted(RULES, key=lambda r: (-len(r[0]), r[0])):
+    one = lambda i: _known()[plain(SENTENCES[i])]
+    for ids_of, name in sorted(((tuple(map(one, ids)), name) for ids, name in RULES), key=lambda r: (-len(r[0]), r[0])):
         hits.append(F.when(rest.contains(sign(ids_of)), F.lit(name)))
         if len(ids_of) > 1:
             rest = F.replace(rest, F.lit(sign(ids_of)), F.lit("|0|"))
