@@ -218,6 +218,14 @@ def test_decontamination(spark, edge, none, real):
     assert decontam.leaks(none, bench).count() == decontam.leaks(edge, odd.limit(0)).count() == 0
 
 
+def test_decontamination_of_an_edited_copy_beside_an_exact_one(spark):
+    words = prose(11, 40).split()
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
+    edited = " ".join("qqq" if k % 5 == 4 else w for k, w in enumerate(words))
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, edited)], "doc_id bigint, text string")
+    assert {r["doc_id"] for r in decontam.leaks(docs, bench).collect()} == {1, 2}
+
+
 def test_line_dedup_cases(edge, none):
     rows = linededup.dedup(edge).collect()
     assert len(rows) == len(ROWS)

@@ -1,16 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Words are lower-cased runs of letters and digits.  Document frequencies of the
-benchmark's n-grams are counted over the whole corpus.  In every stretch of ``SPAN``
-consecutive n-grams of an item the rarest that occurs at all is a seed, so each part
-of an item has a seed however common its words are, and an item that fills the corpus
-still has them.  A seed found in a document proposes the stretch around it; local alignment
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+Words are lower-cased runs of letters and digits.  Every n-gram of an item is a seed
+(``SPAN`` = 1), so whether a document is found does not depend on other documents.
+With a wider span only the rarest that occurs at all is, in every stretch of that many
+consecutive n-grams, by document frequency over the whole corpus; that loses copies
+whose kept runs are short.  What shares no run of ``GRAM`` words with an item is not
+aligned, though its score may reach the threshold (every third word edited, or a word
+put in after every second).  A seed found in a document proposes the stretch around it; local alignment
 (match +2, mismatch and gap -1) scores it, and score / (2 x item length) of at
 least ``THRESHOLD`` is a leak.
 
 Scale: the benchmark is a query set held against all rows.  It is taken in blocks of
-at most ``BLOCK_WORDS`` words, each sent to the executors whole; both scans of the
-documents are narrow, and what comes back of the first is bounded by the block.
+at most ``BLOCK_WORDS`` words, each sent to the executors whole; the scan of the
+documents is narrow, as is the first one of a wider span, of which what comes back is bounded by the block.
 
 Defined cases: null or empty documents and items match nothing, items shorter than
 the n-gram neither; repeated rows give repeated results; a null doc_id or item_id is
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from veilcount.llm import _text
 from veilcount.llm._normal import normal_words
 
-GRAM, SPAN, THRESHOLD, BLOCK_WORDS = 3, 3, 0.5, 2_000_000
+GRAM, SPAN, THRESHOLD, BLOCK_WORDS = 3, 1, 0.5, 2_000_000
 MATCH, OTHER, SLACK = 2, -1, 8
 SCHEMA = "doc_id bigint, item_id bigint, score double, n_matched bigint, word_start bigint, word_end bigint"
 _BITS = 20
@@ -97,6 +99,8 @@ def _frequencies(keys: Keys, n: int):
 def seeds(block: Items, keys: Keys, df: np.ndarray, n: int = GRAM, span: int = SPAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, item, position) of the rarest n-gram of every stretch of ``span`` n-grams of each item."""
     g, item, pos = block.grams(n)
+    if span == 1:
+        return g, item, pos
     rare = df[np.searchsorted(keys.keys, g)] if len(g) else np.zeros(0, np.int64)
     rare = np.where(rare > 0, rare, np.iinfo(np.int64).max)  # what occurs nowhere seeds nothing
     keep = np.zeros(len(g), bool)
@@ -197,7 +201,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n
         block = items(tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b).orderBy("item_id", "text").collect())
         keys = Keys(block.grams(n)[0])
         df = np.zeros(len(keys.keys), np.int64)
-        if len(df):
+        if span > 1 and len(df):
             for r in words.select("text").mapInArrow(_frequencies(keys, n), "k bigint, df bigint").groupBy("k").agg(F.sum("df").alias("df")).collect():
                 df[r["k"]] = r["df"]
         found = words.mapInArrow(_leaks(block, seeds(block, keys, df, n, span), n, threshold), SCHEMA)
