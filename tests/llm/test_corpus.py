@@ -242,6 +242,15 @@ def test_language_id(edge, none, real):
     assert langid.identify(langid.of_documents(none), ["doc_id"]).count() == 0
 
 
+def test_language_sample_keeps_rare_languages(spark):
+    rows = [("en", prose(i, 30)) for i in range(1000)] + [("xx", prose(5000 + i, 30).upper()[::-1]) for i in range(6)]
+    docs = spark.createDataFrame(rows, "declared string, text string")
+    few, all_ = langid.train(docs, sample=40), langid.train(docs, sample=10_000)
+    assert few.languages == all_.languages == ["en", "xx"]
+    assert np.array_equal(few.logs[1], all_.logs[1]) and not np.array_equal(few.logs[0], all_.logs[0])
+    assert langid.quotas({"a": 1000, "b": 6, "c": 10**9}, 106) == {"b": 6, "a": 50, "c": 50}
+
+
 def test_html():
     page = """<html><head><title>t</title></head><body><header><a href=/>Home</a></header><nav><ul><li>menu</ul></nav><div class="cookie-notice">We use it on the site and for the rest of it.</div>
     <article><h1>Short &amp; plain</h1><p>One.<p>Two<br>lines &nbsp; here &eacute;<script>var a = "<p>no</p>";</script></p><form><p>mail</p></form><!-- <p>no</p> --></article>

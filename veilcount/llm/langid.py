@@ -3,7 +3,8 @@
 Three kinds of evidence are multiplied:
 
 * text: likelihoods of byte trigrams (lower case, runs of non-letters as one space),
-  trained on a sample of at most ``SAMPLE`` rows with a declared language.  Trigrams
+  trained on a sample of about ``SAMPLE`` rows with a declared language, drawn per
+  language: those with fewer rows than an even share keep all of them.  Trigrams
   are not independent, so the mean log-likelihood counts as at most ``EFFECTIVE``
   observations;
 * the declared language (markup or metadata): P(declared | language), estimated over
@@ -86,16 +87,25 @@ def _count(languages: list[str]):
     return run
 
 
+def quotas(counts: dict[str, int], sample: int = SAMPLE) -> dict[str, int]:
+    """Rows to draw per language: an even share (at least 5), and what small languages leave of theirs goes to the others."""
+    out, left = {}, sample
+    for i, (language, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[language] = min(n, max(5, left // (len(counts) - i)))
+        left = max(0, left - out[language])
+    return out
+
+
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     """rows: text, declared.  The sample is drawn by a hash of the row, so it is the same whatever the partitioning."""
     labelled = rows.where("declared is not null and text is not null")
     counts = {r["declared"]: r["count"] for r in labelled.groupBy("declared").count().where("count >= 5").collect()}
     languages = sorted(counts)
-    total = sum(counts.values())
     if not languages:
         return Model([], np.zeros((0, BUCKETS)))
-    share = min(1.0, sample / total)
-    drawn = labelled.where(F.pmod(F.xxhash64(F.lit(17), "text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    fine = 1 << 40
+    limits = F.create_map(*(F.lit(x) for language, q in quotas(counts, sample).items() for x in (language, -(-q * fine // counts[language]))))
+    drawn = labelled.where(F.pmod(F.xxhash64(F.lit(17), "text"), F.lit(fine)) < F.try_element_at(limits, F.col("declared")))
     n = np.zeros(len(languages) * BUCKETS)
     for r in drawn.select("declared", "text").mapInArrow(_count(languages), "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():
         n[r["k"]] = r["n"]
