@@ -159,6 +159,19 @@ def test_fertility_rejects_junk_and_keeps_clean_text(judged):
     assert rows.loc[share < 0.2, "fertility_failed"].mean() < 0.015
 
 
+def test_fertility_bands_at_every_size(spark):
+    path = vocabulary("piece_bpe_32k.model")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    measured = fertility.measures(docs, path).withColumn("base_failed", F.expr("n_words < 10"))
+    bands = fertility.bands(measured)
+    classes = fertility._classed(measured).where("not base_failed").select("band", "size").distinct()
+    assert bands.join(classes, ["band", "size"]).dropna().count() == classes.count() == bands.count()
+    words = [w for r in docs.where("lang = 'en'").orderBy("doc_id").limit(100).collect() for w in r["text"].split() if w[-3:] in ("&&&", "***", "$$$", "%%%", "###")]
+    junk = spark.createDataFrame([(-1, " ".join(np.random.default_rng(1).choice(words, 6000).tolist()), "en")], "doc_id bigint, text string, lang string")
+    rows = fertility.judge(docs.select("doc_id", "text", "lang").union(junk), path).where("doc_id = -1").collect()
+    assert [(r["base_failed"], r["fertility_failed"]) for r in rows] == [(False, True)] and rows[0]["n_tokens"] >= 8192
+
+
 def shingles(text):
     w = WORD.findall(text or "")
     return collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])

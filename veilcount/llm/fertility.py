@@ -10,8 +10,9 @@ come from exact quantiles of binned measures over all documents, by grouped
 aggregation; what is sent on is bounded by languages x length classes x bins.
 
 A measure is rejected outside [q50 - spread (q50 - q25) - slack, q50 + spread (q75 - q50) + slack].
-Quartiles do not move while less than a quarter of a class is junk on one side, so junk does not set its own band;
-classes of fewer than ``least`` documents reject nothing.
+Quartiles do not move while less than a quarter of a class is junk on one side, so junk does not set its own band.
+Every class has a band: to its own documents come ``least`` more, spread as those of its language, nearest lengths
+first (a weight of 1/2 for each power of two apart), and to these in turn ``least`` spread as those of all languages.
 
 Defined cases: null or empty text has no words and fails the base rules; a null
 language is the class "und"; repeated rows are judged alike; an empty table gives
@@ -135,24 +136,42 @@ def _classed(df: DataFrame) -> DataFrame:
     return df.withColumn("band", F.coalesce("lang", F.lit("und"))).withColumn("size", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
 
 
+def _shrunk(bins: DataFrame, least: int) -> DataFrame:
+    """bins with weights n: of the class, of its language and of all, each in proportion to the documents it has."""
+    classes = bins.groupBy("band", "size", "m").agg(F.sum("n").alias("own"))
+    near = F.pow(F.lit(2.0), -F.abs(F.col("size") - F.col("size_")))
+
+    def spread_out(to: list[str]) -> DataFrame:
+        """Shares of the bins at each length, from all lengths: to, size, m, bin, share."""
+        by = bins.groupBy(*to, F.col("size").alias("size_"), "m", "bin").agg(F.sum("n").alias("n"))
+        out = classes.select(*to, "size", "m").distinct().join(by, [*to, "m"]).groupBy(*to, "size", "m", "bin").agg(F.sum(F.col("n") * near).alias("x"))
+        return out.select(*to, "size", "m", "bin", (F.col("x") / F.sum("x").over(W.partitionBy(*to, "size", "m"))).alias("share"))
+
+    language, all_of = spread_out(["band"]), spread_out([])
+    totals = classes.withColumn("total", F.sum("own").over(W.partitionBy("band", "m")))
+    part = least / (F.col("total") + least)  # the part of all languages in what a class is shrunk towards
+    own = bins.select("band", "size", "m", "bin", F.col("n").cast("double").alias("n"))
+    from_language = totals.join(language, ["band", "size", "m"]).select("band", "size", "m", "bin", (least * (1 - part) * F.col("share")).alias("n"))
+    from_all = totals.join(all_of, ["size", "m"]).select("band", "size", "m", "bin", (least * part * F.col("share")).alias("n"))
+    return own.union(from_language).union(from_all).groupBy("band", "size", "m", "bin").agg(F.round(F.sum("n"), 6).alias("n"))
+
+
 def bands(measured: DataFrame, spread: float = SPREAD, least: int = LEAST) -> DataFrame:
-    """One row per language and length class: n, and low and high of each measure."""
+    """One row per language and length class: low and high of each measure."""
     usable = _classed(measured).where("not base_failed")
     long = usable.select("band", "size", F.explode(F.array(*(F.struct(F.lit(k).alias("m"), F.floor(F.col(m) / width + 0.5).cast("int").alias("bin")) for k, (m, width, _) in enumerate(MEASURES)))).alias("x"))
-    bins = long.groupBy("band", "size", "x.m", "x.bin").agg(F.count("*").alias("n"))
+    bins = _shrunk(Scratch(measured.sparkSession).put(long.groupBy("band", "size", "x.m", "x.bin").agg(F.count("*").alias("n")), "bins"), least)
     w = W.partitionBy("band", "size", "m").orderBy("bin")
     ranked = bins.withColumn("upto", F.sum("n").over(w)).withColumn("of", F.sum("n").over(W.partitionBy("band", "size", "m")))
     q = lambda p: F.min(F.when(F.col("upto") >= F.lit(p) * F.col("of"), F.col("bin")))
-    cut = ranked.groupBy("band", "size", "m").agg(F.max("of").alias("n"), q(0.25).alias("a"), q(0.5).alias("b"), q(0.75).alias("c"))
-    out = cut.groupBy("band", "size").agg(
-        F.max("n").alias("n"),
+    cut = ranked.groupBy("band", "size", "m").agg(q(0.25).alias("a"), q(0.5).alias("b"), q(0.75).alias("c"))
+    return cut.groupBy("band", "size").agg(
         *(
             F.max(F.when(F.col("m") == k, e)).alias(f"{m}_{side}")
             for k, (m, width, slack) in enumerate(MEASURES)
             for side, e in (("low", width * (F.col("b") - spread * (F.col("b") - F.col("a"))) - slack), ("high", width * (F.col("b") + spread * (F.col("c") - F.col("b"))) + slack))
         ),
     )
-    return out.where(F.col("n") >= least).drop("n")
 
 
 def judge(docs: DataFrame, vocabulary_path: str, spread: float = SPREAD, least: int = LEAST) -> DataFrame:
