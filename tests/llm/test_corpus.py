@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import struct
 import textwrap
@@ -177,11 +178,15 @@ def shingles(text):
     return collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)] if w else [])
 
 
-def brute_classes(rows):
-    sets = {}
+def brute_classes(rows, threshold=0.8, hot=neardup.HOT):
+    sets, df = {}, collections.Counter()
     for i, t in rows:
+        x = shingles(t)
+        df.update(x.keys())
         if i is not None:
-            sets.setdefault(i, []).append(shingles(t))
+            sets.setdefault(i, []).append(x)
+    n = len(rows)
+    idf = {g: max(0.05, min(1, math.log((n + 100) / c) / math.log(1 / hot))) if c > hot * n else 1.0 for g, c in df.items()}
     up = {i: i for i in sets}
 
     def root(i):
@@ -189,10 +194,13 @@ def brute_classes(rows):
             i = up[i]
         return i
 
+    def weight(x):
+        return sum(c * idf[g] for g, c in x.items())
+
     ids = sorted(sets)
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            if any(sum((x & y).values()) >= 0.8 * sum((x | y).values()) > 0 for x in sets[a] for y in sets[b]):
+            if any(weight(x & y) >= threshold * weight(x | y) > 0 for x in sets[a] for y in sets[b]):
                 up[max(root(a), root(b))] = min(root(a), root(b))
     return {i: root(i) for i in ids}
 
@@ -205,6 +213,46 @@ def test_near_dedup(edge, none, real):
     assert neardup.classes(none).count() == 0
 
 
+def test_near_dedup_weighs_common_shingles_less(spark):
+    """Texts that share a passage half of all documents have are alike only where the passage counts in full."""
+    common = prose(50, 120)
+    rows = [(i, common + " " + prose(1000 + i, 22)) for i in range(60)] + [(100 + i, prose(2000 + i, 140)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    weighed = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs, threshold=0.6).collect()}
+    plain = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs, threshold=0.6, hot=1.0).collect()}
+    assert weighed == brute_classes(rows, 0.6) and len(set(weighed.values())) == 120
+    assert plain == brute_classes(rows, 0.6, hot=1.0) and len(set(plain.values())) == 61
+
+
+def edited(words, rate, rng):
+    return " ".join(f"e{rng.integers(10**9)}" if rng.random() < rate else w for w in words)
+
+
+@pytest.mark.parametrize("block", [4096, 200])
+def test_near_dedup_of_a_group_about_the_threshold(spark, monkeypatch, block):
+    """1500 copies of one text with 0 to 7 % of the words replaced: three of four pairs are below the threshold."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    words = prose(70, 150).split()
+    rows = [(i, edited(words, rng.uniform(0, 0.07), rng)) for i in range(1500)]
+    sets = [set(shingles(t)) for _, t in rows]
+    names = {g: k for k, g in enumerate(set().union(*sets))}
+    a = np.zeros((len(rows), len(names)), np.float32)
+    for i, x in enumerate(sets):
+        a[i, [names[g] for g in x]] = 1
+    common = a @ a.T
+    size = a.sum(axis=1)
+    links = common >= 0.8 * (size[:, None] + size - common) - 1e-6
+    assert 0.1 < links.mean() < 0.4
+    up = np.arange(len(rows))
+    for _ in range(50):
+        up = np.array([up[x].min() for x in links])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs, hot=1.0).collect()}
+    lost = sum(got[i] != up[i] for i in range(len(rows)))
+    assert lost == 0, (lost, len(set(up)), len(set(got.values())))
+
+
 def test_consistent_sampling_follows_weighted_similarity():
     rng = np.random.default_rng(4)
     g = np.sort(rng.integers(0, 2**63, 300, dtype=np.uint64))

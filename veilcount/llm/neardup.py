@@ -6,36 +6,50 @@ weighted Jaccard similarity sum(min) / sum(max) is at least ``threshold``; a cla
 is a connected component of links, and copies of one text share a class.
 
 idf is min(1, ln((N + 100) / df) / ln(1 / HOT)), at least 0.05: full weight up to a
-document share of HOT = 1/4, falling towards 0 for what nearly every document
-carries.  A plain idf would weigh the words that differ within a large group of
-copies several times as much as those they share, and so break up the very groups
-that are looked for.  The saturation also bounds what must be known: only shingles
-of a share over HOT need their exact df.  They are found without counting every
-shingle: what has a share over HOT has one over HOT / 2 in some block, and blocks'
-sums leave a number of candidates bounded by 2 / HOT times the shingles of a mean
-document; one more scan counts these exactly.
+document share of HOT = 1/32, falling smoothly towards 0 for what nearly every
+document carries (0.6 at a share of 1/8).  Without the saturation the words that
+differ within a large group of copies would weigh several times as much as those they
+share, and so break up the very groups that are looked for.  The saturation also
+bounds what must be known: only shingles of a share over HOT need their exact df.
+They are found without counting every shingle: what has a share over HOT has one over
+HOT / 2 in some block, and blocks' sums leave a number of candidates bounded by
+2 / HOT times the shingles of a mean document; one more scan counts these exactly.
 
 Sampling: for each of ``BANDS * ROWS`` hash functions the sampled (shingle, t) of Ioffe
 (2010), with the Gamma(2, 1) variables from quantile tables indexed by hash bits.
 Three samples make a band; texts that agree in one of 14 bands are candidates.  At
 similarity 0.8 a link is missed by banding with probability 0.488^14 = 4e-5.  Before
 whole texts are compared, one-permutation sketches of 512 bins sort out pairs that
-are more than four standard deviations below the threshold (pairs with a text of
-which over 2 % of the weight is repeats or below full weight skip this, as sketches
-are unweighted).  Every other candidate is verified on whole texts.
-
-Groups: no bucket is gathered or expanded into all its pairs.  In rounds, some
-members of each bucket are centres (chosen by hash; 4, 256, 16384, ... of them) and
-are compared with the members that are not yet in the centre's component.  A bucket
-ends when all its members are in one component or all have been centres, so every
-candidate pair is either compared or already joined through others.  Sketches and
-texts of documents without a candidate are not shuffled: a bitmap of fixed size, by
-hash of doc_id, sorts most of them out where they are read (were it full, rows would
-take the exact join as they would without it).
+are more than ``SIGMAS`` standard deviations below the threshold.  The sketch is of
+(shingle, occurrence) pairs, each kept with its idf as probability by a hash of its
+own, so agreement of two sketches estimates the weighted similarity; ``sigmas=None``
+turns it off.  What is left is verified on whole texts.
+
+Groups: no bucket is gathered or expanded into all its pairs.
+1. Leaders.  In each bucket the most central member (by the sizes of all buckets that
+   it is in) of each of ``LEADERS`` hash classes is compared with every member: a
+   number of pairs linear in the members.  Their links join nearly all that belongs
+   together: a family with links among its members has buckets of its own in about
+   half of the bands.
+2. The rest, exactly.  Members that are not in the component of their bucket's first
+   leader are compared, by sketches inside a join, with the members of other
+   components.  Buckets are cut into blocks of ``BLOCK`` members by hash and the join
+   is on (bucket, block, block), so no task gets more than BLOCK x BLOCK pairs of a
+   bucket, however large that is; what passes the sketches is verified.
+So every candidate pair is either compared or already joined through others.  The
+second step costs the square of a group only in members that no leader reaches and
+that are alike in sketches, that is, of a group whose members lie just below the
+threshold.  Texts of documents without a surviving pair are not shuffled: a bitmap of
+fixed size, by hash of doc_id, sorts most of them out where they are read (were it
+full, rows would take the exact join as they would without it).
 
 Defined cases: texts without words (null, empty, blank) are alike to nothing; rows
-of one doc_id count as one document; rows with null doc_id have no class and no
-influence; an empty table gives an empty result; extra columns are ignored.
+of one doc_id count as one document, with all their texts; rows with null doc_id have
+no class and form no link, but count in idf, as every row does; a very long text is
+shingled as a whole, and pairs of texts reach Python in batches of bounded bytes; ties
+(equal centrality) are broken by a hash of doc_id, and the class is named by its
+smallest doc_id; an empty table gives an empty result; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -52,10 +66,10 @@ from veilcount.llm import _text
 from veilcount.llm._graph import components
 from veilcount.llm._scratch import Scratch
 
-WORDS, THRESHOLD, BANDS, ROWS, BINS = 5, 0.8, 14, 3, 512
-HOT, FLOOR, PSEUDO = 0.25, 0.05, 100
-#: Each round has this many times the centres of the one before.
-STEP = 64
+WORDS, THRESHOLD, BANDS, ROWS, BINS, SIGMAS = 5, 0.8, 14, 3, 512, 4.0
+HOT, FLOOR, PSEUDO = 1 / 32, 0.05, 100
+#: Leaders of a bucket, and the most of its members that meet as many others in one task.
+LEADERS, BLOCK = 2, 4096
 #: A sieve has at most 2 ** SIEVE rows of 64 bits.
 SIEVE = 18
 #: A block for local frequencies has about this many shingles.
@@ -103,24 +117,47 @@ def shingles(w: _text.Words, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np
     return found[at], doc[at], np.diff(at, append=len(found))
 
 
-def sketches(g: np.ndarray, doc: np.ndarray, m: int) -> np.ndarray:
-    """(m, BINS / 16) words of 16 nibbles: for each bin of hashes a trace, 1 to 15, of the smallest; 0 for none.
+def sketches(g: np.ndarray, doc: np.ndarray, tf: np.ndarray, share: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each document: BINS / 16 words of 16 nibbles (for each bin of hashes a trace, 1 to 15, of the smallest; 0 for
+    none), the number of elements that were kept, and of all.
 
-    g is in order within each document.
+    Elements are (shingle, occurrence), kept with probability share.  g is in order within each document.
     """
-    out = np.zeros(m * BINS, U)
-    place = doc * BINS + (g >> U(65 - BINS.bit_length())).astype(np.int64)
-    head = np.ones(len(g), bool)
-    head[1:] = place[1:] != place[:-1]
-    out[place[head]] = _text.mix(g[head]) % U(15) + U(1)
-    return (out.reshape(m, BINS // 16, 16) << (U(4) * np.arange(16, dtype=U))).sum(axis=2, dtype=U)
-
-
-def _alike(x: str, y: str) -> Column:
-    """Whether the sketches of two texts allow a similarity of ``THRESHOLD``, but for four standard deviations.
-
-    At similarity J the union has u = (nx + ny) / (1 + J) shingles that fill f bins; of these a share 14 / 15 (1 - J)
-    differs.  f of u are drawn without replacement, which narrows the spread by 1 - f / u.
+    least = np.full(m * BINS, np.iinfo(U).max, U)
+    kept = np.zeros(m, np.int64)
+
+    def place(h: np.ndarray, d: np.ndarray) -> np.ndarray:
+        return d * BINS + (h >> U(65 - BINS.bit_length())).astype(np.int64)
+
+    def draw(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return (w >= 1) | ((_text.mix(h ^ U(0x5851F42D4C957F2D)) >> U(11)) * 2.0**-53 < w)
+
+    on = draw(g, share)
+    h, d = (g, doc) if on.all() else (g[on], doc[on])
+    kept += np.bincount(d, minlength=m)
+    at = place(h, d)
+    head = np.ones(len(h), bool)
+    head[1:] = at[1:] != at[:-1]
+    least[at[head]] = h[head]
+    again = np.flatnonzero(tf > 1)
+    if len(again):
+        times = tf[again] - 1
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + 1
+        h = _text.mix(np.repeat(g[again], times) + nth.astype(U) * U(0xC2B2AE3D27D4EB4F))
+        on = draw(h, np.repeat(share[again], times))
+        h, d = h[on], np.repeat(doc[again], times)[on]
+        kept += np.bincount(d, minlength=m)
+        np.minimum.at(least, place(h, d), h)
+    out = np.where(least != np.iinfo(U).max, _text.mix(least) % U(15) + U(1), U(0))
+    packed = (out.reshape(m, BINS // 16, 16) << (U(4) * np.arange(16, dtype=U))).sum(axis=2, dtype=U)
+    return packed, kept, np.bincount(doc, tf, m)
+
+
+def _alike(x: str, y: str, threshold: float, sigmas: float) -> Column:
+    """Whether the sketches of two texts allow a similarity of ``threshold``, but for some standard deviations.
+
+    At similarity J the union has u = (nx + ny) / (1 + J) kept elements that fill f bins; of these a share
+    14 / 15 (1 - J) differs.  f of all elements of the union are drawn without replacement, which narrows the spread.
     """
     nibbles = F.lit(0x1111111111111111)
 
@@ -130,10 +167,10 @@ def _alike(x: str, y: str) -> Column:
         return F.bit_count(two.bitwiseOR(F.shiftrightunsigned(two, 2)).bitwiseAND(nibbles))
 
     other = sum((unequal(i) for i in range(1, BINS // 16)), unequal(0))
-    u = (F.col(f"{x}.shingles") + F.col(f"{y}.shingles")) / (1 + THRESHOLD)
-    f = BINS * (1 - F.exp(-u / BINS))
-    spread = F.sqrt(f * (THRESHOLD * (1 - THRESHOLD) * (1 - f / u) + 0.0125) + 0.2 * (1 - THRESHOLD) ** 2 * f)
-    return other <= f * (14 / 15 * (1 - THRESHOLD)) + 4 * spread + 1
+    f = BINS * (1 - F.exp(-(F.col(f"{x}.kept") + F.col(f"{y}.kept")) / (BINS * (1 + threshold))))
+    drawn = F.least(F.lit(1.0), f * (1 + threshold) / (F.col(f"{x}.elements") + F.col(f"{y}.elements")))
+    spread = F.sqrt(f * (threshold * (1 - threshold) * (1 - drawn) + 0.0125) + 0.2 * (1 - threshold) ** 2 * f)
+    return other <= f * (14 / 15 * (1 - threshold)) + sigmas * spread + 1
 
 
 _tables: list[np.ndarray] = []
@@ -251,14 +288,14 @@ def _sketch(weights: Idf, bands: int, rows: int, k: int):
             for i, j, w in _text.word_blocks(batch.column(3)):
                 g, doc, tf = shingles(w, k)
                 m = j - i
-                weight = tf * weights.of(g)
-                off = np.bincount(doc, np.abs(weight - 1), m) > 0.02 * np.bincount(doc, weight, m)
+                share = weights.of(g)
                 keep = np.flatnonzero(w.counts() > 0)
+                bins, kept, elements = sketches(g, doc, tf, share, m)
                 lists = []
-                for x in (samples(g, doc, weight, m, rows * bands), sketches(g, doc, m)):
+                for x in (samples(g, doc, tf * share, m, rows * bands), bins):
                     flat = _text.signed(x)[keep]
                     lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * flat.shape[1], pa.int32()), pa.array(flat.reshape(-1))))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, m).take(pa.array(keep)) for c in range(3)), *lists, pa.array(off[keep]), pa.array(np.bincount(doc, minlength=m)[keep].astype(float))], ["doc_id", "t1", "t2", "sig", "bins", "uneven", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, m).take(pa.array(keep)) for c in range(3)), *lists, *(pa.array(x[keep].astype(float)) for x in (kept, elements))], ["doc_id", "t1", "t2", "sig", "bins", "kept", "elements"])
 
     return run
 
@@ -281,8 +318,8 @@ def _verify(weights: Idf, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            j = np.array([similarity(a, b) for a, b in zip(sets(batch.column(4)), sets(batch.column(5)), strict=True)], float)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(4)), pa.array(j)], ["a", "b", "ca", "cb", "similarity"])
+            j = np.array([similarity(a, b) for a, b in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True)], float)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j)], ["a", "b", "similarity"])
 
     return run
 
@@ -311,68 +348,108 @@ class Found(NamedTuple):
     classes: DataFrame  # node, comp
 
 
-def search(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, hot: float = HOT, k: int = WORDS) -> Found:
-    scratch = Scratch(docs.sparkSession)
-    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).where("doc_id is not null")
-    weights = idf(docs, scratch, hot, k)
-    keyed = named.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"), "text")
-    sketch = scratch.put(keyed.where("text is not null").mapInArrow(_sketch(weights, bands, rows, k), "doc_id bigint, t1 bigint, t2 bigint, sig array<bigint>, bins array<bigint>, uneven boolean, shingles double"), "sketch")
-    # what follows from the text is the same in all of its copies
-    nodes = scratch.put(sketch.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("sig", "bins", "uneven", "shingles"))), "nodes")
-    reps = nodes.select("t1", "t2", F.col("node").alias("rep"))
-    same = scratch.put(sketch.select("doc_id", "t1", "t2").join(reps, ["t1", "t2"]).select("doc_id", "rep", (F.col("doc_id") == F.col("rep")).alias("lead")).distinct(), "same")
-    scratch.drop(sketch)
-    keys = [F.xxhash64(F.lit(b), *(F.col("sig")[rows * b + r] for r in range(rows))) for b in range(bands)]
-    rungs = nodes.select("node", F.posexplode(F.array(*keys)).alias("band", "key"))
-    buckets = rungs.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    members = scratch.put(rungs.join(buckets, "key").select("key", "band", "node", "n", "lo"), "members")
-    met = scratch.put(members.select("node").distinct(), "met")
-    sieve = scratch.put(_sieve(met), "sieve")
-    met = met.hint("merge")
-    bins = scratch.put(_sifted(nodes, "node", sieve).join(met, "node", "left_semi").select("node", "uneven", "shingles", *(F.col("bins")[i].alias(f"s{i}") for i in range(BINS // 16)), *(k.alias(f"k{b}") for b, k in enumerate(keys))), "bins")
-    parts = [F.coalesce(c, F.lit(False) if c == "uneven" else F.lit(0)).alias(c) for c in bins.columns]  # never null: shorter code in the join
-    texts = scratch.put(_sifted(named, "doc_id", sieve).join(met, F.col("doc_id") == F.col("node")).select("node", "text"), "texts")
-    scratch.drop(nodes)
-    tested = links = None
-    centres, largest, classes = 4, members.agg(F.max("n")).first()[0] or 0, None
-    while True:
-        if classes is None:
-            here = members.withColumn("comp", F.col("node"))
-        else:  # buckets that are one component, or whose members have all been centres, are done
-            here = members.where(F.col("n") > centres // STEP).join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            still = here.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
-            here = here.join(still, "key", "left_semi")
-        here = here.join(bins.select(*parts), "node")
-        draw = F.pmod(F.xxhash64("node", F.lit(centres)), F.lit(1_000_003))
-        here = here.withColumn("centre", (F.col("n") <= centres) | (draw < F.lit(1_000_003 * centres) / F.col("n")) | (F.col("node") == F.col("lo")))
-        x, y = here.where("centre").alias("x"), here.alias("y")
-        # two centres meet once, and two texts in the first band that they share
-        first = sum((((F.col("x.band") > b) & (F.col(f"x.k{b}") == F.col(f"y.k{b}"))).cast("int") for b in range(bands - 1)), F.lit(0)) == 0
-        apart = (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.centre") | (F.col("x.node") < F.col("y.node")))
-        may = (F.col("x.key") == F.col("y.key")) & apart & first & (F.col("x.uneven") | F.col("y.uneven") | _alike("x", "y"))
-        pairs = x.join(y, may).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.comp", "y.comp").alias("ca"), F.greatest("x.comp", "y.comp").alias("cb")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        todo = scratch.put(pairs, "pairs")
-        if links is None or not todo.isEmpty():
-            text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-            both = todo.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ca", "cb", "text_a", "text_b")
-            found = both.mapInArrow(_verify(weights, k), "a bigint, b bigint, ca bigint, cb bigint, similarity double").where(F.col("similarity") >= threshold)
-            found = scratch.put(found.groupBy("a", "b", "ca", "cb").agg(F.max("similarity").alias("similarity")), "links")
-            tested = todo.select("a", "b") if tested is None else tested.union(todo.select("a", "b"))
-            links = found.drop("ca", "cb") if links is None else links.union(found.drop("ca", "cb"))
-            if classes is None:
-                classes = scratch.put(components(found.select("a", "b"), scratch), "classes")
-            elif not found.isEmpty():
-                classes = scratch.put(_joined(classes, components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch)), "classes")
-        if centres >= largest:
-            break
-        centres *= STEP
+class _Search:
+    """The steps of ``search``; tables that later steps read are written, so lost executors cost one step."""
+
+    def __init__(self, docs: DataFrame, threshold: float, bands: int, rows: int, hot: float, k: int, sigmas: float | None):
+        self.scratch = Scratch(docs.sparkSession)
+        self.threshold, self.bands, self.rows, self.k, self.sigmas = threshold, bands, rows, k, sigmas
+        named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).where("doc_id is not null and text is not null")
+        self.keyed = named.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"), "text")
+        self.weights = idf(docs, self.scratch, hot, k)
+
+    def nodes(self) -> tuple[DataFrame, DataFrame]:
+        """One row per text, named by its smallest doc_id, with its samples and sketch; and which document has which text."""
+        put = self.scratch.put
+        sketch = put(self.keyed.mapInArrow(_sketch(self.weights, self.bands, self.rows, self.k), "doc_id bigint, t1 bigint, t2 bigint, sig array<bigint>, bins array<bigint>, kept double, elements double"), "sketch")
+        nodes = put(sketch.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("sig", "bins", "kept", "elements"))), "nodes")
+        reps = nodes.select("t1", "t2", F.col("node").alias("rep"))
+        same = put(sketch.select("doc_id", "t1", "t2").join(reps, ["t1", "t2"]).select("doc_id", "rep", (F.col("doc_id") == F.col("rep")).alias("lead")).distinct(), "same")
+        self.scratch.drop(sketch)
+        return nodes, same
+
+    def buckets(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Members (key, band, node, n, score) of buckets with two nodes at least, the buckets' leaders (key, heads), and
+        the sketches of members."""
+        put, rows = self.scratch.put, self.rows
+        keys = [F.xxhash64(F.lit(b), *(F.col("sig")[rows * b + r] for r in range(rows))) for b in range(self.bands)]
+        rungs = nodes.select("node", F.posexplode(F.array(*keys)).alias("band", "key"))
+        sizes = put(rungs.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", "n"), "sizes")
+        members = put(rungs.join(sizes, "key").select("key", "band", "node", "n"), "members")
+        score = members.groupBy("node").agg(F.sum("n").alias("score"))
+        place = F.struct("score", F.xxhash64(F.lit(3), "node").alias("h"), "node")
+        turn = F.pmod(F.xxhash64(F.lit(5), "node"), F.lit(LEADERS))
+        first = [F.max(F.when(turn == c, place)).alias(f"l{c}") for c in range(LEADERS)]
+        heads = F.transform(F.array_sort(F.array_compact(F.array(*(F.col(f"l{c}") for c in range(LEADERS)))), lambda p, q: F.when(p > q, -1).when(p < q, 1).otherwise(0)), lambda x: x["node"])
+        leaders = put(members.join(score, "node").groupBy("key").agg(*first).select("key", heads.alias("heads")), "leaders")
+        met = put(_sieve(members), "sieve")
+        cards = _sifted(nodes, "node", met).select("node", "kept", "elements", *(F.col("bins")[i].alias(f"s{i}") for i in range(BINS // 16)), *(x.alias(f"k{b}") for b, x in enumerate(keys)))
+        cards = put(cards, "cards")
+        return members, leaders, cards.select("node", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in cards.columns[1:]))  # never null: shorter code in joins
+
+    def alike(self, x: str, y: str) -> Column:
+        return F.lit(True) if self.sigmas is None else _alike(x, y, self.threshold, self.sigmas)
+
+    def led(self, members: DataFrame, leaders: DataFrame, cards: DataFrame) -> DataFrame:
+        """(a, b): members and their buckets' leaders, each pair once, where sketches allow a link."""
+        each = members.join(leaders, "key").select("node", F.explode("heads").alias("head")).where("node <> head")
+        pairs = each.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+        bins = cards.select("node", "kept", "elements", *(f"s{i}" for i in range(BINS // 16)))
+        x, y = bins.alias("x"), bins.alias("y")
+        return pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & self.alike("x", "y")).select("a", "b").distinct()
+
+    def rest(self, members: DataFrame, leaders: DataFrame, cards: DataFrame, classes: DataFrame) -> DataFrame:
+        """(a, b, ca, cb): of buckets that still have several components, all pairs that sketches allow."""
+        put, none = self.scratch.put, F.lit(0)
+        comps = classes.select(F.col("node").alias("of"), "comp")
+        main = leaders.select("key", F.col("heads")[0].alias("head")).join(comps, F.col("head") == F.col("of"), "left").select("key", F.coalesce("comp", "head").alias("main"))
+        here = members.where(F.col("n") > 2).join(comps, F.col("node") == F.col("of"), "left").select("key", "band", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        here = put(here.join(put(main, "main"), "key").withColumn("apart", F.col("comp") != F.col("main")).drop("main"), "here")
+        still = put(here.where("apart").groupBy("key").agg(F.count("*").alias("s")), "still")
+        here = here.join(still, "key").join(cards, "node")
+        blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+        block = lambda c: F.pmod(F.xxhash64(F.lit(9), "node"), blocks(c)).cast("int")
+        here = put(here.withColumn("bx", block("s")).withColumn("by", block("n")), "open")
+        x = here.where("apart").withColumn("by", F.explode(F.sequence(none, blocks("n") - 1))).alias("x")
+        y = here.withColumn("bx", F.explode(F.sequence(none, blocks("s") - 1))).alias("y")
+        # two that are apart meet once, and two texts in the first band that they share
+        first = sum((((F.col("x.band") > b) & (F.col(f"x.k{b}") == F.col(f"y.k{b}"))).cast("int") for b in range(self.bands - 1)), none) == 0
+        once = (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.apart") | (F.col("x.node") < F.col("y.node")))
+        same = (F.col("x.key") == F.col("y.key")) & (F.col("x.bx") == F.col("y.bx")) & (F.col("x.by") == F.col("y.by"))
+        pairs = x.join(y, same & once & first & self.alike("x", "y"))
+        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.comp", "y.comp").alias("ca"), F.greatest("x.comp", "y.comp").alias("cb")).distinct()
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, similarity) of the pairs that are links; each of a node's texts is compared."""
+        sieve = self.scratch.put(_sieve(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), "sieve")
+        texts = _sifted(self.keyed, "doc_id", sieve).groupBy(F.col("doc_id").alias("node"), "t1", "t2").agg(F.first("text").alias("text"))
+        texts = self.scratch.put(texts.select("node", "text"), "texts")
+        text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
+        both = pairs.select("a", "b").join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
+        found = both.mapInArrow(_verify(self.weights, self.k), "a bigint, b bigint, similarity double").where(F.col("similarity") >= self.threshold)
+        return self.scratch.put(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
+
+
+def search(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, hot: float = HOT, k: int = WORDS, sigmas: float | None = SIGMAS) -> Found:
+    at = _Search(docs, threshold, bands, rows, hot, k, sigmas)
+    put = at.scratch.put
+    nodes, same = at.nodes()
+    members, leaders, cards = at.buckets(nodes)
+    at.scratch.drop(nodes)
+    links = at.verified(put(at.led(members, leaders, cards), "pairs"))
+    classes = put(components(links.select("a", "b"), at.scratch), "classes")
+    more = put(at.rest(members, leaders, cards, classes), "pairs")
+    if not more.isEmpty():
+        late = at.verified(more)
+        links = links.union(late)
+        if not late.isEmpty():
+            over = more.join(late.select("a", "b"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+            classes = put(_joined(classes, components(over, at.scratch)), "classes")
     documents = same.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     # rows of one doc_id with different texts tie those texts together
     ties = same.where("doc_id <> rep").join(same.where("lead").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     if not ties.isEmpty():
-        classes = components(links.select("a", "b").union(ties), scratch)
+        classes = components(links.select("a", "b").union(ties), at.scratch)
     return Found(documents, links, classes)
 
 
