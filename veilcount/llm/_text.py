@@ -19,6 +19,8 @@ import xxhash
 U = np.uint64
 #: Bytes of text that are worked on at once (one document may exceed it).
 BLOCK_BYTES = 1 << 21
+#: Rows of a block at most.
+BLOCK_ROWS = 1024
 #: Longer words are hashed by xxh3 instead of the polynomial.
 LONG_WORD = 256
 _SEP = np.zeros(256, bool)
@@ -133,18 +135,17 @@ def blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iter
     """(first row, last row + 1, bytes, offsets) of consecutive rows of about ``limit`` bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
-    n = len(column)
-    if not n:
-        return
-    raw = column.buffers()
-    offsets = np.frombuffer(raw[1], np.int64)[column.offset : column.offset + n + 1]
-    data = np.frombuffer(raw[2], np.uint8) if raw[2] is not None else np.zeros(0, np.uint8)
-    i = 0
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
-        yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        i = j
+    for row in range(0, len(column), BLOCK_ROWS):  # casts copy, so not the whole batch at once
+        part = pc.fill_null(column.slice(row, BLOCK_ROWS).cast(pa.large_string()), "")
+        n = len(part)
+        raw = part.buffers()
+        offsets = np.frombuffer(raw[1], np.int64)[part.offset : part.offset + n + 1]
+        data = np.frombuffer(raw[2], np.uint8) if raw[2] is not None else np.zeros(0, np.uint8)
+        i = 0
+        while i < n:
+            j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+            yield row + i, row + j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            i = j
 
 
 def word_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Words]]:

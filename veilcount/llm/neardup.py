@@ -73,7 +73,7 @@ LEADERS, BLOCK = 2, 4096
 #: A sieve has at most 2 ** SIEVE rows of 64 bits.
 SIEVE = 18
 #: A block for local frequencies has about this many shingles.
-LOCAL = 4_000_000
+LOCAL = 1_000_000
 U = _text.U
 
 
