@@ -396,7 +396,7 @@ class _Search:
         pairs = each.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
         bins = cards.select("node", "kept", "elements", *(f"s{i}" for i in range(BINS // 16)))
         x, y = bins.alias("x"), bins.alias("y")
-        return pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & self.alike("x", "y")).select("a", "b").distinct()
+        return pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & self.alike("x", "y")).select("a", "b")
 
     def rest(self, members: DataFrame, leaders: DataFrame, cards: DataFrame, classes: DataFrame) -> DataFrame:
         """(a, b, ca, cb): of buckets that still have several components, all pairs that sketches allow."""
