@@ -287,11 +287,51 @@ def test_decontamination_of_an_edited_copy_beside_an_exact_one(spark):
     assert {r["doc_id"] for r in decontam.leaks(docs, bench).collect()} == {1, 2}
 
 
+def brute_lines(rows, least, chars):
+    """{doc_id: kept text}: lines of maximal runs that also stand earlier and are long enough, found pair by pair."""
+    seq = []
+    for i, t in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is None, r[0] or 0)):
+        seq += [(i, n, x.strip(linededup.BLANKS)) for n, x in enumerate(t.split("\n")) if x.strip(linededup.BLANKS)]
+        seq.append((i, -1, None))
+    gone = set()
+    for p in range(len(seq)):
+        for q in range(p):
+            n = 0
+            while p + n < len(seq) and seq[p + n][2] is not None and seq[p + n][2] == seq[q + n][2]:
+                n += 1
+            if n >= least or n and chars is not None and sum(len(x[2]) for x in seq[p : p + n]) >= chars:
+                for k in range(n):
+                    here = seq[p + k]
+                    after = seq[p + k + 1][1] if k + 1 < n else here[1] + 1
+                    gone |= {(here[0], m) for m in range(here[1], max(after, here[1] + 1))}
+    return {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in rows}
+
+
+@pytest.mark.parametrize(("least", "chars"), [(3, 20), (3, None), (1, None), (2, 12)])
+def test_line_dedup_by_brute_force(spark, least, chars):
+    rng = np.random.default_rng(9)
+    pool = ["x", "yes", "no more", "a middling line", "one line that is long enough", "another line of some length", " blank ", "tail"]
+    rows = []
+    for i in range(40):
+        lines = [str(x) for x in rng.choice(pool, rng.integers(0, 9))] + [f"own {i} {rng.integers(99)}"] * int(rng.integers(0, 2))
+        for at in sorted(rng.integers(0, len(lines) + 1, 2).tolist(), reverse=True):
+            lines.insert(at, str(rng.choice(["", "  ", "\t", f"u{rng.integers(999)}"])))
+        rows.append((i, "\n".join(lines)))
+    rows.append((40, None))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert {r["doc_id"]: r["text"] for r in linededup.dedup(docs, least, chars).collect()} == brute_lines(rows, least, chars)
+
+
 def test_line_dedup_cases(edge, none):
-    rows = linededup.dedup(edge).collect()
+    out = linededup.dedup(edge)
+    assert out.columns == [*edge.columns, "__vc_spans"]
+    rows = out.collect()
     assert len(rows) == len(ROWS)
     texts = {r["doc_id"]: r["text"] for r in rows}
     assert texts[9] == LINES + "\n" + prose(7) and texts[10] == prose(6) and texts[4] is None and texts[5] == ""
+    assert texts[1] == prose(1) and texts[2] == texts[12] == ""  # a long line that stands in a smaller document
+    whole = {r["doc_id"]: r["text"] for r in linededup.dedup(edge, chars=None).collect()}
+    assert whole[1] == whole[2] == whole[12] == prose(1) and whole[10] == prose(6)
     assert linededup.dedup(none).count() == 0
 
 

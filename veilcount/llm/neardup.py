@@ -65,13 +65,12 @@ from pyspark.sql import functions as F
 from veilcount.llm import _text
 from veilcount.llm._graph import components
 from veilcount.llm._scratch import Scratch
+from veilcount.llm._sieve import sieve, sifted
 
 WORDS, THRESHOLD, BANDS, ROWS, BINS, SIGMAS = 5, 0.8, 14, 3, 512, 4.0
 HOT, FLOOR, PSEUDO = 1 / 32, 0.05, 100
 #: Leaders of a bucket, and the most of its members that meet as many others in one task.
 LEADERS, BLOCK = 2, 4096
-#: A sieve has at most 2 ** SIEVE rows of 64 bits.
-SIEVE = 18
 #: A block for local frequencies has about this many shingles.
 LOCAL = 1_000_000
 U = _text.U
@@ -324,17 +323,6 @@ def _verify(weights: Idf, k: int):
     return run
 
 
-def _sieve(nodes: DataFrame) -> DataFrame:
-    """(word, bits): the hashes that the nodes have, in a bitmap whose size does not depend on their number."""
-    return nodes.groupBy(F.shiftrightunsigned(F.xxhash64("node"), 64 - SIEVE).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(xxhash64(node) & 63 as int)))").alias("bits"))
-
-
-def _sifted(df: DataFrame, node: str, sieve: DataFrame) -> DataFrame:
-    """The rows of which the sieve has the hash: all that match one of its nodes, and some others."""
-    found = df.join(F.broadcast(sieve), F.shiftrightunsigned(F.xxhash64(node), 64 - SIEVE) == F.col("word"))
-    return found.where(F.expr(f"getbit(bits, cast(xxhash64({node}) & 63 as int)) = 1")).select(*df.columns)
-
-
 def _joined(classes: DataFrame, over: DataFrame) -> DataFrame:
     """(node, comp): classes whose components are joined as over, the components of components, says; nodes new in over come in."""
     up = over.select(F.col("node").alias("from"), F.col("comp").alias("to"))
@@ -382,8 +370,8 @@ class _Search:
         first = [F.max(F.when(turn == c, place)).alias(f"l{c}") for c in range(LEADERS)]
         heads = F.transform(F.array_sort(F.array_compact(F.array(*(F.col(f"l{c}") for c in range(LEADERS)))), lambda p, q: F.when(p > q, -1).when(p < q, 1).otherwise(0)), lambda x: x["node"])
         leaders = put(members.join(score, "node").groupBy("key").agg(*first).select("key", heads.alias("heads")), "leaders")
-        met = put(_sieve(members), "sieve")
-        cards = _sifted(nodes, "node", met).select("node", "kept", "elements", *(F.col("bins")[i].alias(f"s{i}") for i in range(BINS // 16)), *(x.alias(f"k{b}") for b, x in enumerate(keys)))
+        met = put(sieve(members, F.xxhash64("node")), "sieve")
+        cards = sifted(nodes, F.xxhash64("node"), met).select("node", "kept", "elements", *(F.col("bins")[i].alias(f"s{i}") for i in range(BINS // 16)), *(x.alias(f"k{b}") for b, x in enumerate(keys)))
         cards = put(cards, "cards")
         return members, leaders, cards.select("node", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in cards.columns[1:]))  # never null: shorter code in joins
 
@@ -421,8 +409,8 @@ class _Search:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b, similarity) of the pairs that are links; each of a node's texts is compared."""
-        sieve = self.scratch.put(_sieve(pairs.select(F.col("a").alias("node")).union(pairs.select("b"))), "sieve")
-        texts = _sifted(self.keyed, "doc_id", sieve).groupBy(F.col("doc_id").alias("node"), "t1", "t2").agg(F.first("text").alias("text"))
+        met = self.scratch.put(sieve(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), F.xxhash64("node")), "sieve")
+        texts = sifted(self.keyed, F.xxhash64("doc_id"), met).groupBy(F.col("doc_id").alias("node"), "t1", "t2").agg(F.first("text").alias("text"))
         texts = self.scratch.put(texts.select("node", "text"), "texts")
         text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
         both = pairs.select("a", "b").join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")

@@ -85,15 +85,21 @@ _BLANK = "chr(32) || chr(9) || chr(11) || chr(12) || chr(13)"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _line_dedup_sql(least: int) -> str:
-    keys = ", ".join(f"lead(s, {i}) OVER d AS s{i}" for i in range(1, least))
-    part = ", ".join(["s", *(f"s{i}" for i in range(1, least))])
+def _line_dedup_sql(least: int, chars: int) -> str:
+    """Windows of each length below ``least`` that carry enough characters, and all of ``least`` lines, but the first of each."""
+    keys = ", ".join(f"lead(s, {i}) OVER d AS s{i}, lead(ln, {i}) OVER d AS l{i}" for i in range(1, least))
+    names = ["s", *(f"s{i}" for i in range(1, least))]
+    windows = []
+    for n in range(1, least + 1):
+        last = f"l{n - 1}" if n > 1 else "ln"
+        enough = f" AND {' + '.join(f'length({x})' for x in names[:n])} >= {chars}" if n < least else ""
+        windows.append(f"SELECT doc_id, ln, {last} AS last, row_number() OVER (PARTITION BY {', '.join(names[:n])} ORDER BY doc_id, ln) AS nth FROM w WHERE {last} IS NOT NULL{enough}")
     return f"""
 WITH a AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS ln FROM a),
 b AS (SELECT doc_id, ln, trim(line, {_BLANK}) AS s FROM l WHERE trim(line, {_BLANK}) <> ''),
-w AS (SELECT doc_id, ln, s, {keys}, lead(ln, {least - 1}) OVER d AS last FROM b WINDOW d AS (PARTITION BY doc_id ORDER BY ln)),
-r AS (SELECT doc_id, ln, last, row_number() OVER (PARTITION BY {part} ORDER BY doc_id, ln) AS nth FROM w WHERE last IS NOT NULL),
+w AS (SELECT doc_id, ln, s, {keys} FROM b WINDOW d AS (PARTITION BY doc_id ORDER BY ln)),
+r AS ({" UNION ALL ".join(windows)}),
 gone AS (SELECT DISTINCT doc_id, unnest(generate_series(ln, last)) AS ln FROM r WHERE nth > 1),
 k AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.ln) AS n_deleted, coalesce(string_agg(l.line, chr(10) ORDER BY l.ln) FILTER (WHERE gone.ln IS NULL), '') AS kept
       FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.ln = l.ln GROUP BY l.doc_id)
@@ -135,4 +141,4 @@ FROM a LEFT JOIN h ON h.doc_id = a.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": _line_dedup_sql(linededup.LEAST), "op9_substring_dedup": _substring_dedup_sql(substr.LEAST), "op10_license_scan": _license_scan_sql()}
+    return {"op4_line_dedup": _line_dedup_sql(linededup.LEAST, linededup.CHARS), "op9_substring_dedup": _substring_dedup_sql(substr.LEAST), "op10_license_scan": _license_scan_sql()}
