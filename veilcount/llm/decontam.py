@@ -14,9 +14,17 @@ Scale: the benchmark is a query set held against all rows.  It is taken in block
 at most ``BLOCK_WORDS`` words, each sent to the executors whole; the scan of the
 documents is narrow, as is the first one of a wider span, of which what comes back is bounded by the block.
 
+Stretches of one item that lie close are aligned as one; one that is longer than
+``WINDOW`` items (the item recurs, or a very long text is full of its seeds) is cut into
+parts that overlap by three, and no alignment of a positive score is longer than that.
+Alignments are computed in batches of at most ``AREA`` cells a step, so memory does not
+grow with the text.
+
 Defined cases: null or empty documents and items match nothing, items shorter than
-the n-gram neither; repeated rows give repeated results; a null doc_id or item_id is
-carried through; empty tables give an empty result; extra columns are ignored.
+the n-gram neither; repeated rows give repeated results; of several alignments of one
+document and item the best counts, of equal ones the last in the text; a null doc_id or
+item_id is carried through; empty tables give an empty result; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +42,8 @@ from veilcount.llm._normal import normal_words
 
 GRAM, SPAN, THRESHOLD, BLOCK_WORDS = 3, 1, 0.5, 2_000_000
 MATCH, OTHER, SLACK = 2, -1, 8
+#: The longest window in lengths of its item, and cells of the alignment table that are worked on at once.
+WINDOW, AREA = 8, 1 << 20
 SCHEMA = "doc_id bigint, item_id bigint, score double, n_matched bigint, word_start bigint, word_end bigint"
 _BITS = 20
 
@@ -144,7 +154,7 @@ def _leaks(block: Items, seed: tuple[np.ndarray, np.ndarray, np.ndarray], n: int
     lo, hi = np.searchsorted(g, keys.keys), np.searchsorted(g, keys.keys, "right")
     size = np.diff(block.first)
 
-    def stretches(w: _text.Words, h: np.ndarray) -> list[tuple[int, int, int, int]]:
+    def stretches(w: _text.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, first word, last word + 1): seeds of one item that lie close make one stretch."""
         at, k = keys.find(_text.grams(h, n))
         ok = _text.inside(w.first, n)[at]
@@ -154,32 +164,50 @@ def _leaks(block: Items, seed: tuple[np.ndarray, np.ndarray, np.ndarray], n: int
         place = np.repeat(at, times)
         doc = np.searchsorted(w.first, place, "right") - 1
         found, diagonal = item[which], place - pos[which]
-        out: list[tuple[int, int, int, int]] = []
-        for i in np.lexsort((diagonal, found, doc)):
-            d, b, s = int(doc[i]), int(found[i]), int(diagonal[i])
-            a, z = max(int(w.first[d]), s - SLACK), min(int(w.first[d + 1]), s + int(size[b]) + SLACK)
-            if out and out[-1][:2] == (d, b) and a <= out[-1][3]:
-                out[-1] = (d, b, out[-1][2], max(out[-1][3], z))
-            else:
-                out.append((d, b, a, z))
-        return out
+        order = np.lexsort((diagonal, found, doc))
+        doc, found, diagonal = doc[order], found[order], diagonal[order]
+        a = np.maximum(w.first[doc], diagonal - SLACK)  # both ends grow within a document and item
+        z = np.minimum(w.first[doc + 1], diagonal + size[found] + SLACK)
+        new = np.ones(len(a), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (found[1:] != found[:-1]) | (a[1:] > z[:-1])
+        head = np.flatnonzero(new)
+        last = np.append(head[1:], len(a))[: len(head)] - 1
+        doc, found, a, z = doc[head], found[head], a[head], z[last]
+        most = WINDOW * size[found] + 2 * SLACK
+        step = most - 3 * size[found] - SLACK
+        parts = 1 + np.maximum(0, -(-(z - a - most) // step))
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        doc, found, a, z, most, step = (np.repeat(x, parts) for x in (doc, found, a, z, most, step))
+        return doc, found, a + nth * step, np.minimum(z, a + nth * step + most)
+
+    def rounds(length: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of rows of at most AREA cells a step (or one row)."""
+        s, longest = 0, 0
+        for e, x in enumerate(length.tolist()):
+            longest = max(longest, x)
+            if e > s and (e + 1 - s) * longest > AREA:
+                yield s, e
+                s, longest = e, x
+        if s < len(length):
+            yield s, len(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for first_row, _, w in normal_words(batch.column(1)):
                 h = w.hashes()
-                all_of = sorted(stretches(w, h), key=lambda x: (size[x[1]], x[3] - x[2]))
+                doc, found, begin, end = stretches(w, h)
+                order = np.lexsort((end - begin, size[found]))
+                doc, found, begin, end = doc[order], found[order], begin[order], end[order]
                 best: dict[tuple[int, int], tuple] = {}
-                for s in range(0, len(all_of), 128):
-                    part = all_of[s : s + 128]
-                    left = [block.words[block.first[b] : block.first[b + 1]] for _, b, _, _ in part]
-                    right = [h[a:z] for _, _, a, z in part]
+                for s, e in rounds(end - begin):
+                    left = [block.words[block.first[b] : block.first[b + 1]] for b in found[s:e]]
+                    right = [h[a:z] for a, z in zip(begin[s:e], end[s:e], strict=True)]
                     score, row, col = align(left, right)
-                    share = score / (MATCH * np.array([len(x) for x in left]))
+                    share = score / (MATCH * size[found[s:e]])
                     for i in np.flatnonzero(share >= threshold):
                         _, back_row, back_col = align([left[i][: row[i]][::-1]], [right[i][: col[i]][::-1]])
-                        d, b, a, _ = part[i]
+                        d, b, a = int(doc[s + i]), int(found[s + i]), int(begin[s + i])
                         got = (float(share[i]), int(back_row[0]), a + int(col[i] - back_col[0]) - int(w.first[d]), a + int(col[i]) - int(w.first[d]))
                         best[d, b] = max(best.get((d, b), got), got)
                 rows = sorted(best.items())
