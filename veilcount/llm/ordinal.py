@@ -2,8 +2,8 @@
 
 Grades 0 < 1 < ... < K share one weight vector over hashed text features; ordered
 thresholds cut the score: P(grade > k) = sigmoid(w.x - theta_k).  Training fits both
-by AdaGrad on a sample of at most ``SAMPLE`` labelled documents, drawn by a hash of
-the row; scoring is one narrow scan of all documents with the weights (a fixed
+by AdaGrad on a sample of at most ``SAMPLE`` labelled documents with about ``FEATURES``
+features in all, drawn by a hash of the row; scoring is one narrow scan of all documents with the weights (a fixed
 number of buckets) sent along.
 
 Features are present or absent: normalised words, word pairs, and shapes (share of
@@ -16,10 +16,13 @@ Selection: kept when the expected grade is at least ``MIN_GRADE`` and
 P(grade >= 1) at least ``MIN_TAIL``.
 
 Defined cases: null or empty text has no feature but the bias and its length class;
-labels without a document or with null ratings are not used; repeated labels count
-each; without any label all documents get grade 0 with equal probabilities and none
-is kept; repeated rows are scored alike; an empty table gives an empty result; extra
-columns are ignored.
+a very long text gives at most one feature a bucket; labels without a document or with
+null ratings are not used; a rating repeated for one document counts once, different
+ratings each; of more rows than the sample takes, those of the smallest hash stay,
+whatever their grade, and rows of equal features in the order of their grades; without
+any label all documents get grade 0 with equal probabilities and none is kept; repeated
+rows are scored alike; an empty table gives an empty result; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -34,8 +37,9 @@ from pyspark.sql import functions as F
 
 from veilcount.llm import _text
 from veilcount.llm._normal import normal
+from veilcount.llm._scratch import Scratch
 
-BUCKETS, SAMPLE, EPOCHS, RATE, DECAY, MIN_Z = 1 << 18, 12_000, 12, 0.1, 1e-4, 4.0
+BUCKETS, SAMPLE, FEATURES, EPOCHS, RATE, DECAY, MIN_Z = 1 << 18, 12_000, 24_000_000, 12, 0.1, 1e-4, 4.0
 MIN_GRADE, MIN_TAIL = 1.0, 0.5
 _SHAPES = 256
 
@@ -134,15 +138,21 @@ def probabilities(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndar
 
 def train(docs: DataFrame, ratings: DataFrame, levels: int, sample: int = SAMPLE) -> Model | None:
     """ratings: doc_id, grade (0 .. levels - 1)."""
-    named = ratings.select(F.col("doc_id").cast("bigint").alias("rated"), F.col("grade").cast("int").alias("grade")).where(F.col("grade").between(0, levels - 1) & F.col("rated").isNotNull())
+    named = ratings.select(F.col("doc_id").cast("bigint").alias("rated"), F.col("grade").cast("int").alias("grade")).where(F.col("grade").between(0, levels - 1) & F.col("rated").isNotNull()).distinct()
     total = named.count()
     if not total:
         return None
     share = min(1.0, 0.95 * sample / total)
-    drawn = named.where(F.pmod(F.xxhash64(F.lit(23), "rated"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    fine = 1 << 40
+    drawn = named.where(F.pmod(F.xxhash64(F.lit(23), "rated"), F.lit(fine)) < int(share * fine) + 1)  # about 0.95 sample rows, which is what is broadcast
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).where("text is not null")
-    rows = texts.join(drawn, texts["doc_id"] == drawn["rated"]).select("grade", "text").mapInArrow(_featured, "grade int, x array<int>")
-    got = rows.orderBy("grade", F.xxhash64("x")).limit(sample).toArrow().combine_chunks()
+    rows = texts.join(F.broadcast(drawn), texts["doc_id"] == drawn["rated"]).select("grade", "text").mapInArrow(_featured, "grade int, x array<int>")
+    rows = Scratch(docs.sparkSession).put(rows, "features")
+    size = rows.agg(F.sum(F.size("x")).alias("features")).first()["features"] or 0
+    part = min(1.0, FEATURES / max(size, 1))
+    h = F.xxhash64("x")
+    kept = rows.where(F.pmod(F.xxhash64(F.lit(29), h), F.lit(fine)) < int(part * fine) + 1)
+    got = kept.orderBy(h, "grade").limit(sample).toArrow().combine_chunks()
     if not got.num_rows:
         return None
     lists = got["x"].combine_chunks()
