@@ -16,14 +16,19 @@ Three kinds of evidence are multiplied:
 A row is rejected when it has no letters or the posterior of its best language is
 below ``MIN_CONFIDENCE``.
 
+Languages are the ``LANGUAGES`` most frequent declared values of at least ``LEAST``
+rows; rarer ones (typing errors, mostly) are no evidence, and the model, what is
+collected for it and the expressions stay bounded whatever the metadata hold.
+
 Scale: two narrow scans of the text (the sample, the likelihoods); counts by
 declared language, suffix, domain and host come from partial aggregation, and go
 back by equi-joins, so a host with a third of all rows is no burden.
 
-Defined cases: null or empty text has no letters; null declared language or host is
-no evidence; repeated rows are judged alike; with no declared language at all every
-row is "und" and rejected; an empty table gives an empty result; extra columns are
-kept by ``keep`` and otherwise ignored.
+Defined cases: null or empty text has no letters; a very long text counts as a whole;
+null declared language or host is no evidence; of languages that tie the last by name
+wins; repeated rows are judged alike; with no declared language at all every row is
+"und" and rejected; an empty table gives an empty result; extra columns are kept by
+``keep`` and otherwise ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,6 +47,7 @@ from veilcount.llm._scratch import Scratch
 SAMPLE, BUCKETS, EFFECTIVE, MIN_CONFIDENCE = 20_000, 1 << 14, 60, 0.5
 #: Rows of the level above that a host, domain or suffix starts with.
 KAPPA = 5.0
+LANGUAGES, LEAST = 64, 5
 _LETTER = np.arange(256, dtype=np.uint8)
 _LETTER[:0x80] = [ord(chr(c).lower()) if chr(c).isalpha() else 0x20 for c in range(0x80)]
 
@@ -99,7 +105,8 @@ def quotas(counts: dict[str, int], sample: int = SAMPLE) -> dict[str, int]:
 def train(rows: DataFrame, sample: int = SAMPLE) -> Model:
     """rows: text, declared.  The sample is drawn by a hash of the row, so it is the same whatever the partitioning."""
     labelled = rows.where("declared is not null and text is not null")
-    counts = {r["declared"]: r["count"] for r in labelled.groupBy("declared").count().where("count >= 5").collect()}
+    frequent = labelled.groupBy("declared").count().where(F.col("count") >= LEAST).orderBy(F.desc("count"), "declared").limit(LANGUAGES)
+    counts = {r["declared"]: r["count"] for r in frequent.collect()}
     languages = sorted(counts)
     if not languages:
         return Model([], np.zeros((0, BUCKETS)))
@@ -183,14 +190,13 @@ def identify(rows: DataFrame, keep: list[str], sample: int = SAMPLE, min_confide
     for r in said:
         table[model.languages.index(r["declared"])] += [r[f"s{i}"] or 0.0 for i in each]
     table = np.log(table / table.sum(axis=0))
-    row = F.coalesce(F.array_position(F.array(*map(F.lit, model.languages)), F.col("declared")), F.lit(0)).cast("int")
-    flat = F.array(*(F.lit(float(x)) for x in table.reshape(-1)))
-    joined = seen.join(hosts, F.col("host") == F.col("host_"), "left")
+    spoken = rows.sparkSession.createDataFrame([(x, table[i].tolist()) for i, x in enumerate(model.languages)], "declared_ string, spoken array<double>")
+    joined = seen.join(hosts, F.col("host") == F.col("host_"), "left").join(F.broadcast(spoken), F.col("declared") == F.col("declared_"), "left")
     rest = sum((F.col("n")[i] - soft[i] for i in each), F.lit(0.0))
     score = []
     for i in each:
         prior: Column = F.log(F.greatest((F.col("n")[i] - soft[i] + KAPPA * F.col("base")[i]) / (F.greatest(rest, F.lit(0.0)) + KAPPA), F.lit(1e-9)))
-        declared = F.when(row > 0, F.element_at(flat, (row - 1) * size + i + 1)).otherwise(0.0)
+        declared = F.coalesce(F.col("spoken")[i], F.lit(0.0))
         score.append(F.struct((F.col("logs")[i] + declared + F.coalesce(prior, F.lit(0.0))).alias("s"), F.lit(model.languages[i]).alias("l")))
     judged = joined.withColumn("scores", F.array(*score)).withColumn("top", F.array_max("scores"))
     mass = F.aggregate("scores", F.lit(0.0), lambda a, x: a + F.exp(x["s"] - F.col("top")["s"]))
