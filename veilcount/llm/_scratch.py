@@ -1,7 +1,8 @@
 """Written intermediate tables in the folder that driver and executors share.
 
-The folder is the one named by ``spark.checkpoint.dir``; only where that is unset
-(tests on one machine) a temporary folder is made and set as checkpoint folder.
+The folder is the one named by ``spark.checkpoint.dir``; only where that is unset and
+driver and executors are one process (master local, as in tests) a temporary folder is
+made and set as checkpoint folder.  On a cluster an unset folder is an error.
 A written table cuts lineage and outlives lost executors.
 """
 
@@ -13,8 +14,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_left: set[str] = set()
-
 
 def base(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,6 +22,8 @@ def base(spark: SparkSession) -> str:
         known = context._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="veilcount-")
         context.setCheckpointDir(named)
         atexit.register(_remove, spark, named)

@@ -13,7 +13,9 @@ rows; each leaves at most ``open_bins`` bins that are not full.
 
 Defined cases: null or empty text is a document of the single end id; repeated
 rows are packed each on their own; a null doc_id stays null; an empty table gives
-an empty result; extra columns are ignored.
+an empty result; pieces that tie in the hash they are dealt by are placed in the order
+of doc_id, piece, length and crc; of bins with equal free space the last one that got
+there is taken; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -17,9 +17,11 @@ wide.  Documents of an anchor or window are never brought together: each is
 reduced to its smallest (and largest) doc_id by partial aggregation, and the rows
 go back by an equi-join that Spark may split where it is skewed.
 
-Defined cases: null text has no words; a null doc_id is neither smaller nor
-larger, so such rows keep all and remove nothing; repeated rows of one doc_id do
-not remove each other's words; an empty table gives an empty result.
+Defined cases: null, empty and blank text has no words; a null doc_id is neither
+smaller nor larger, so such rows keep all and remove nothing; repeated rows of one
+doc_id do not remove each other's words (a tie is not smaller); a very long text is
+worked on as a whole, in one row; an empty table gives an empty result; extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
