@@ -125,30 +125,85 @@ def test_bins_are_best_fit():
         free = {x: free[x] for x in still}
 
 
-def test_fertility_cases(edge, none):
+VOCABULARIES = vocabulary("piece_bpe_32k.model"), vocabulary("byte_bpe_multi_50k.tiktoken")
+
+
+def brute_tokens(texts):
+    """By vocabulary and text: n_tokens, chars_per_token, byte_share, token_entropy, of whole texts."""
+    import base64
+
+    import public_tokenizers
     import sentencepiece
+    import tiktoken
 
-    path = vocabulary("piece_bpe_32k.model")
-    p = sentencepiece.SentencePieceProcessor(model_file=path)
-    rows = fertility.judge(edge, path, least=3).collect()
-    want = collections.Counter()
-    for i, text, *_ in ROWS:
-        t = text or ""
+    p = sentencepiece.SentencePieceProcessor(model_file=VOCABULARIES[0])
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(VOCABULARIES[1], "rb"))}
+    t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def part(i):
+        try:
+            t.decode_bytes([i]).decode()
+            return False
+        except UnicodeDecodeError:
+            return True
+
+    for encode, is_byte in ((p.encode, p.is_byte), (t.encode_ordinary, part)):
+        out = []
+        for x in texts:
+            ids = encode(x)
+            n = max(1, len(ids))
+            out.append((len(ids), len(x) / n, sum(map(is_byte, ids)) / n, -sum(c / n * math.log2(c / n) for c in collections.Counter(ids).values())))
+        yield out
+
+
+def test_fertility_cases(edge, none):
+    texts = [t or "" for _, t, *_ in ROWS]
+    rows = fertility.judge(edge, *VOCABULARIES, least=3).collect()
+    want = []
+    one, two = brute_tokens(texts)
+    for (i, *_), t, a, b in zip(ROWS, texts, one, two, strict=True):
         w = WORD.findall(t)
         lines = [x for x in t.split("\n") if WORD.search(x)]
         g = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
         cover = {q for k in range(len(w) - 4) if g[tuple(w[k : k + 5])] > 1 for q in range(k, k + 5)}
         bad = len(w) < 10 or 100 * len(cover) > 20 * len(w)
-        want[i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(cover), bad, len(p.encode(t))] += 1
-    assert collections.Counter((*tuple(r)[:7], r["n_tokens"]) for r in rows) == want
+        want.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(cover), bad, *a, *b))
+    names = [f"{m}{v}" for v in fertility.VOCABULARIES for m in ("n_tokens", "chars_per_token", "byte_share", "token_entropy")]
+    key = lambda x: sorted([[-1 if y is None else round(float(y), 6) for y in r] for r in x])
+    assert key([(*tuple(r)[:7], *(r[m] for m in names)) for r in rows]) == key(want)
     assert not any(r["kept"] for r in rows if r["base_failed"])
-    assert fertility.judge(none, path).count() == 0
+    assert all(r["kept"] == (not r["base_failed"] and not r["fertility_failed"]) for r in rows)
+    assert fertility.judge(none, *VOCABULARIES).count() == 0
+
+
+def test_fertility_scripts(spark):
+    texts = ["Hello there", "Привет, как дела", "γειά σου Κόσμε", "你好世界 ok", "こんにちは", "안녕하세요", "مرحبا", "שלום", "नमस्ते", "12 ?!", "", None, "x"]
+    docs = spark.createDataFrame([(i, t, " " if i % 2 else None) for i, t in enumerate(texts)] + [(99, "Hello", "de")], "doc_id int, text string, lang string")
+    got = {r["doc_id"]: r["lang"] for r in fertility.measures(docs, *VOCABULARIES).collect()}
+    want = ["latn", "cyrl", "grek", "hani", "kana", "hang", "arab", "hebr", "indc", "und", "und", "und", "latn"]
+    assert got == {99: "de"} | {i: f"script:{x}" for i, x in enumerate(want)}
+
+
+def test_fertility_bands_by_brute_force(spark):
+    """With least=0 a band is that of its class alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = fertility.judge(docs, *VOCABULARIES, least=0).toPandas()
+    rows["size"] = np.floor(np.log2(rows["n_tokens"].clip(lower=1)))
+    failed = np.zeros(len(rows), bool)
+    for m, width, slack in fertility.MEASURES:
+        for _, x in rows[~rows["base_failed"]].groupby(["band", "size"]):
+            bins = np.sort(np.floor(x[m] / width + 0.5).to_numpy())
+            a, b, c = (bins[int(np.ceil(p * len(bins))) - 1] for p in (0.25, 0.5, 0.75))
+            low, high = width * (b - 4 * (b - a)) - slack, width * (b + 4 * (c - b)) + slack
+            failed[x.index[(x[m] < low) | (x[m] > high)]] = True
+    here = ~rows["base_failed"].to_numpy()
+    assert (rows["fertility_failed"].to_numpy()[here] == failed[here]).all() and failed.any()
 
 
 @pytest.fixture(scope="module")
 def judged(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    return fertility.judge(docs, vocabulary("piece_bpe_32k.model")).join(docs.select("doc_id", "text"), "doc_id").toPandas()
+    return fertility.judge(docs, *VOCABULARIES).join(docs.select("doc_id", "text"), "doc_id").toPandas()
 
 
 def test_fertility_rejects_junk_and_keeps_clean_text(judged):
@@ -156,20 +211,20 @@ def test_fertility_rejects_junk_and_keeps_clean_text(judged):
     gone = set(rows.loc[rows["fertility_failed"], "doc_id"])
     assert gone >= {39, 40, 101, 1418}
     share = rows["n_symbols"] / rows["n_words"]
+    print(rows.loc[share >= 1, "fertility_failed"].mean(), rows.loc[share < 0.2, "fertility_failed"].mean())
     assert rows.loc[share >= 1, "fertility_failed"].mean() > 0.85
     assert rows.loc[share < 0.2, "fertility_failed"].mean() < 0.015
 
 
 def test_fertility_bands_at_every_size(spark):
-    path = vocabulary("piece_bpe_32k.model")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    measured = fertility.measures(docs, path).withColumn("base_failed", F.expr("n_words < 10"))
+    measured = fertility.measures(docs, *VOCABULARIES).withColumn("base_failed", F.expr("n_words < 10"))
     bands = fertility.bands(measured)
     classes = fertility._classed(measured).where("not base_failed").select("band", "size").distinct()
     assert bands.join(classes, ["band", "size"]).dropna().count() == classes.count() == bands.count()
     words = [w for r in docs.where("lang = 'en'").orderBy("doc_id").limit(100).collect() for w in r["text"].split() if w[-3:] in ("&&&", "***", "$$$", "%%%", "###")]
     junk = spark.createDataFrame([(-1, " ".join(np.random.default_rng(1).choice(words, 6000).tolist()), "en")], "doc_id bigint, text string, lang string")
-    rows = fertility.judge(docs.select("doc_id", "text", "lang").union(junk), path).where("doc_id = -1").collect()
+    rows = fertility.judge(docs.select("doc_id", "text", "lang").union(junk), *VOCABULARIES).where("doc_id = -1").collect()
     assert [(r["base_failed"], r["fertility_failed"]) for r in rows] == [(False, True)] and rows[0]["n_tokens"] >= 8192
 
 

@@ -1,4 +1,8 @@
-"""Token ids of text by looking up chunks that tokenise independently of their neighbours."""
+"""Token ids of text by looking up chunks that tokenise independently of their neighbours.
+
+Chunks are told apart by a 64-bit hash among the few hundred thousand that a worker keeps, so a wrong id
+is expected once in about 5e13 chunks.
+"""
 
 from __future__ import annotations
 
@@ -16,41 +20,54 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(shift, length)
 
 
-class ChunkIds:
-    """Ids of chunks, kept by the chunk's 64-bit hash; forgets all of them beyond ``most`` chunks.
-
-    encode: ids of each of a list of strings.
-    """
+class _Ids:
+    """Ids of numbered chunks under one vocabulary."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 400_000):
-        self.encode, self.most = encode, most
-        self.clear()
-
-    def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+    def __init__(self) -> None:
         self.start = np.zeros(1024, np.int64)
         self.length = np.zeros(1024, np.int64)
         self.flat = np.zeros(4096, np.int32)
         self.used = 0
 
-    def _add(self, keys: list[int], texts: list[str]) -> None:
-        found = self.encode(texts)
-        need = len(self.slot) + len(keys)
-        while need > len(self.start):
+    def add(self, at: int, found: list[list[int]]) -> None:
+        while at + len(found) > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         total = int(lengths.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        at = len(self.slot)
-        self.start[at : at + len(keys)] = self.used + np.cumsum(lengths) - lengths
-        self.length[at : at + len(keys)] = lengths
+        self.start[at : at + len(found)] = self.used + np.cumsum(lengths) - lengths
+        self.length[at : at + len(found)] = lengths
         self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.int32, total)
         self.used += total
+
+    def of(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = self.length[slots]
+        return lengths, self.flat[ragged(self.start[slots], lengths)]
+
+
+class ChunkIds:
+    """Ids of chunks, kept by the chunk's hash; forgets all of them beyond ``most`` chunks.
+
+    encoders: one for each vocabulary, that gives the ids of each of a list of strings.
+    """
+
+    def __init__(self, *encoders: Callable[[list[str]], list[list[int]]], most: int = 400_000):
+        self.encoders, self.most = encoders, most
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.ids = [_Ids() for _ in self.encoders]
+
+    def _add(self, keys: list[int], texts: list[tuple[str, ...]]) -> None:
+        at = len(self.slot)
+        for ids, encode, given in zip(self.ids, self.encoders, zip(*texts, strict=True), strict=True):
+            ids.add(at, encode(list(given)))
         self.slot.update(zip(keys, range(at, at + len(keys)), strict=True))
 
-    def lookup(self, h: np.ndarray, text: Callable[[int], str]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each chunk, all ids one after another); text(i) is chunk i as the tokenizer is given it."""
+    def lookup(self, h: np.ndarray, text: Callable[[int], tuple[str, ...]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By vocabulary (number of ids of each chunk, all ids one after another); text(i) is chunk i as each encoder is given it."""
         keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.slot) + len(keys) > max(self.most, len(keys)):
             self.clear()
@@ -60,5 +77,4 @@ class ChunkIds:
             part = missing[i : i + 20_000]
             self._add([listed[k] for k in part], [text(int(first[k])) for k in part])
         slots = np.fromiter((self.slot[k] for k in listed), np.int64, len(listed))[inverse]
-        lengths = self.length[slots]
-        return lengths, self.flat[ragged(self.start[slots], lengths)]
+        return [ids.of(slots) for ids in self.ids]

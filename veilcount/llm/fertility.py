@@ -1,22 +1,26 @@
 """Quality rules on words and on tokeniser fertility.
 
 Base rules count words, symbols, repeated lines and repeated five-word windows.
-Fertility rules measure a public vocabulary on the text: characters per token,
-share of byte-fallback tokens and entropy of the token distribution.  Each
-measure is held against a band of the documents of the same language (or script,
-where no language is given) and of similar length: the entropy of a text depends
-on its length, so length classes are powers of two of the token count.  Bands
-come from exact quantiles of binned measures over all documents, by grouped
-aggregation; what is sent on is bounded by languages x length classes x bins.
+Fertility rules measure two public vocabularies on the text, pieces with byte fallback
+and byte-level merges for many languages: characters per token, share of tokens that
+are bytes (of a character that the vocabulary lacks, or parts of one) and entropy of
+the token distribution.  Each measure is held against a band of the documents of the
+same language, or of the same script where no language is given (the script of most of
+the text's letters), and of similar length: the entropy of a text depends on its
+length, so length classes are powers of two of the token count.  Bands come from exact
+quantiles of binned measures over all documents, by grouped aggregation; what is sent
+on is bounded by languages x length classes x bins.
 
 A measure is rejected outside [q50 - spread (q50 - q25) - slack, q50 + spread (q75 - q50) + slack].
 Quartiles do not move while less than a quarter of a class is junk on one side, so junk does not set its own band.
 Every class has a band: to its own documents come ``least`` more, spread as those of its language, nearest lengths
 first (a weight of 1/2 for each power of two apart), and to these in turn ``least`` spread as those of all languages.
 
-Defined cases: null or empty text has no words and fails the base rules; a null
-language is the class "und"; repeated rows are judged alike; an empty table gives
-an empty result; extra columns are ignored.
+Defined cases: null or empty text has no words and fails the base rules; a null or blank
+language is the script's class (``script:und`` for a text without letters); a very long
+text counts as a whole; a measure on the edge of its band is kept; repeated rows are
+judged alike; an empty table gives an empty result; extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -35,24 +39,58 @@ from veilcount.llm._scratch import Scratch
 
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 SPREAD, LEAST = 4.0, 50
-#: (measure, bin width, slack): a band is never narrower than the slack on either side.
-MEASURES = (("chars_per_token", 0.01, 0.05), ("byte_share", 0.0025, 0.01), ("token_entropy", 0.02, 0.1))
-SCHEMA = "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_tokens bigint, chars_per_token double, byte_share double, token_entropy double"
-
+#: (measure, bin width, slack): a band is never narrower than the slack on either side; of each vocabulary in turn.
+KINDS = (("chars_per_token", 0.01, 0.05), ("byte_share", 0.0025, 0.01), ("token_entropy", 0.02, 0.1))
+VOCABULARIES = ("", "_2")
+MEASURES = tuple((m + v, width, slack) for v in VOCABULARIES for m, width, slack in KINDS)
+SCHEMA = "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, " + ", ".join(f"n_tokens{v} bigint, chars_per_token{v} double, byte_share{v} double, token_entropy{v} double" for v in VOCABULARIES)
+
+# Scripts by the first byte of a character's UTF-8 form.
+SCRIPTS = {"latn": (0xC3, 0xC9), "grek": (0xCE, 0xCF), "cyrl": (0xD0, 0xD3), "armn": (0xD4, 0xD5), "hebr": (0xD6, 0xD7), "arab": (0xD8, 0xDB), "indc": (0xE0, 0xE0), "mong": (0xE1, 0xE1), "kana": (0xE3, 0xE3), "hani": (0xE4, 0xE9), "hang": (0xEA, 0xED), "und": (0, 0)}
 _caches: dict[str, tuple] = {}
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
 
-def _pieces(path: str) -> tuple[ChunkIds, np.ndarray]:
-    if path not in _caches:
+_SCRIPT = np.full(256, len(SCRIPTS) - 1, np.uint8)
+for _n, (_a, _b) in enumerate(SCRIPTS.values()):
+    if _a:
+        _SCRIPT[_a : _b + 1] = _n
+_SCRIPT[[c for c in range(0x80) if chr(c).isalpha()]] = 0
+
+
+def scripts(w: _text.Words) -> list[str]:
+    """The script of most letters of each document of a block."""
+    names, m = list(SCRIPTS), len(w.first) - 1
+    kind = _SCRIPT[w.buf]
+    counts = np.stack([_sums(kind == k, w.offsets) for k in range(len(names) - 1)])
+    best = np.where(counts.max(axis=0, initial=0) > 0, counts.argmax(axis=0), len(names) - 1) if m else []
+    return [names[k] for k in best]
+
+
+def _vocabularies(paths: tuple[str, str]) -> tuple[ChunkIds, list[np.ndarray]]:
+    """Ids of chunks and which ids are bytes, under a model of pieces and a table of ranks."""
+    if paths not in _caches:
+        import base64
+
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
 
-        p = sentencepiece.SentencePieceProcessor(model_file=path)
+        p = sentencepiece.SentencePieceProcessor(model_file=paths[0])
         skip = len(p.encode("\n"))  # the dummy prefix and the line end, which joins with nothing
-        is_byte = np.array([p.is_byte(i) for i in range(p.vocab_size())])
-        _caches[path] = ChunkIds(lambda texts: [x[skip:] for x in p.encode(["\n" + t for t in texts], num_threads=1)]), is_byte
-    return _caches[path]
+        with open(paths[1], "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        t = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        bytes_of = [np.array([p.is_byte(i) for i in range(p.vocab_size())]), np.zeros(max(ranks.values()) + 1, bool)]
+        for token, i in ranks.items():
+            try:
+                token.decode()
+            except UnicodeDecodeError:
+                bytes_of[1][i] = True
+        cache = ChunkIds(lambda texts: [x[skip:] for x in p.encode(["\n" + x for x in texts], num_threads=1)], lambda texts: [t.encode_ordinary(x) for x in texts], most=300_000)
+        _caches[paths] = cache, bytes_of
+    return _caches[paths]
 
 
 def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -91,49 +129,56 @@ def base_counts(w: _text.Words, window: int = REPEAT_WINDOW) -> dict[str, np.nda
     return {"n_words": w.counts(), "word_chars": _sums(chars, w.offsets), "n_symbols": _sums(_SYMBOL[buf], w.offsets), "n_dup_lines": dup, "n_repeat_words": _sums(np.cumsum(edge)[: len(h)] > 0, first)}
 
 
-def token_measures(w: _text.Words, path: str) -> dict[str, np.ndarray]:
-    """n_tokens, chars_per_token, byte_share and token_entropy (bits) of each document of a block.
+def token_measures(w: _text.Words, paths: tuple[str, str]) -> dict[str, np.ndarray]:
+    """n_tokens, chars_per_token, byte_share and token_entropy (bits) of each document of a block, by vocabulary.
 
-    A chunk is a word with the white space before it, and the white space at a document's end: pieces of
-    this vocabulary hold white space only at their start, so chunks tokenise alone.
+    A chunk is a word with the white space before it, and the white space at a document's end: tokens of
+    both vocabularies hold white space only at their start, so chunks tokenise alone.
     """
-    cache, is_byte = _pieces(path)
+    cache, bytes_of = _vocabularies(paths)
     m, n = len(w.first) - 1, len(w.buf)
     cuts = np.unique(np.concatenate([w.offsets, w.end]))
     lo, hi = cuts[:-1], cuts[1:]
-    if not len(lo):
-        zero = np.zeros(m)
-        return {"n_tokens": zero.astype(np.int64), "chars_per_token": zero, "byte_share": zero, "token_entropy": zero}
-    head = np.isin(lo, w.offsets)
     h = _text.hash_spans(w.buf, lo, hi)
+    head = np.isin(lo, w.offsets)  # what pieces put a space before
     h[head] ^= _text.U(0x5851F42D4C957F2D)
     raw = w.buf.tobytes()
-    lengths, ids = cache.lookup(h, lambda i: (" " if head[i] else "") + raw[lo[i] : hi[i]].decode())
-    doc = np.repeat(np.searchsorted(w.offsets, lo, "right") - 1, lengths)
-    tokens = np.bincount(doc, minlength=m)
-    least = np.maximum(tokens, 1)
-    _, counts = (key := np.unique(doc * np.int64(len(is_byte)) + ids, return_counts=True))
-    owner = key[0] // len(is_byte)
-    logs = np.bincount(owner, counts * np.log2(counts), m)
-    chars = _sums((w.buf & 0xC0) != 0x80, w.offsets) if n else np.zeros(m)
-    return {"n_tokens": tokens, "chars_per_token": chars / least, "byte_share": np.bincount(doc, is_byte[ids], m) / least, "token_entropy": np.log2(least) - logs / least}
 
+    def text(i: int) -> tuple[str, str]:
+        x = raw[lo[i] : hi[i]].decode()
+        return (" " + x if head[i] else x), x
 
-def measures(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+    owner = np.searchsorted(w.offsets, lo, "right") - 1
+    chars = _sums((w.buf & 0xC0) != 0x80, w.offsets) if n else np.zeros(m)
+    out = {}
+    for (lengths, ids), is_byte, v in zip(cache.lookup(h, text), bytes_of, VOCABULARIES, strict=True):
+        doc = np.repeat(owner, lengths)
+        tokens = np.bincount(doc, minlength=m)
+        least = np.maximum(tokens, 1)
+        key, counts = np.unique(doc * np.int64(len(is_byte)) + ids, return_counts=True)
+        logs = np.bincount(key // len(is_byte), counts * np.log2(counts), m)
+        out |= {f"n_tokens{v}": tokens, f"chars_per_token{v}": chars / least, f"byte_share{v}": np.bincount(doc, is_byte[ids], m) / least, f"token_entropy{v}": np.log2(least) - logs / least}
+    return out
+
+
+def measures(docs: DataFrame, *paths: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, w in _text.word_blocks(batch.column(2)):
-                found = base_counts(w) | token_measures(w, vocabulary_path)
-                arrays = [batch.column(k).slice(i, j - i) for k in (0, 1)]
+                found = base_counts(w) | token_measures(w, paths)
+                lang = batch.column(1).slice(i, j - i)
+                if lang.null_count:
+                    lang = pa.array([x or f"script:{y}" for x, y in zip(lang.to_pylist(), scripts(w), strict=True)])
+                arrays = [batch.column(0).slice(i, j - i), lang]
                 arrays += [pa.array(np.round(v, 9) if v.dtype.kind == "f" else v.astype(np.int64)) for v in found.values()]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "lang", *found])
 
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    lang = F.nullif(F.trim(F.col("lang").cast("string")), F.lit("")) if "lang" in docs.columns else F.lit(None).cast("string")
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), lang.alias("lang"), "text").mapInArrow(run, SCHEMA)
 
 
 def _classed(df: DataFrame) -> DataFrame:
-    return df.withColumn("band", F.coalesce("lang", F.lit("und"))).withColumn("size", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
+    return df.withColumn("band", F.col("lang")).withColumn("size", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
 
 
 def _shrunk(bins: DataFrame, least: int) -> DataFrame:
@@ -174,14 +219,17 @@ def bands(measured: DataFrame, spread: float = SPREAD, least: int = LEAST) -> Da
     )
 
 
-def judge(docs: DataFrame, vocabulary_path: str, spread: float = SPREAD, least: int = LEAST) -> DataFrame:
-    """One row per document: doc_id, base counts, base_failed, kept, then the fertility measures and fertility_failed."""
+def judge(docs: DataFrame, *vocabularies: str, spread: float = SPREAD, least: int = LEAST) -> DataFrame:
+    """One row per document: doc_id, base counts, base_failed, kept, then its band, the fertility measures and fertility_failed.
+
+    vocabularies: places of a model of pieces and of a table of ranks.
+    """
     scratch = Scratch(docs.sparkSession)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    measured = scratch.put(measures(docs, vocabulary_path).withColumn("base_failed", failed), "measures")
+    measured = scratch.put(measures(docs, *vocabularies).withColumn("base_failed", failed), "measures")
     band = scratch.put(bands(measured, spread, least), "bands")
     joined = _classed(measured).join(band, ["band", "size"], "left")
     out = F.lit(False)
     for m, _, _ in MEASURES:
         out = out | F.coalesce((F.col(m) < F.col(f"{m}_low")) | (F.col(m) > F.col(f"{m}_high")), F.lit(False))
-    return joined.withColumn("fertility_failed", out).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("fertility_failed")).alias("kept"), "n_tokens", "chars_per_token", "byte_share", "token_entropy", "fertility_failed")
+    return joined.withColumn("fertility_failed", out).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~F.col("fertility_failed")).alias("kept"), F.col("lang").alias("band"), *(f"{m}{v}" for v in VOCABULARIES for m in ("n_tokens", "chars_per_token", "byte_share", "token_entropy")), "fertility_failed")

@@ -99,7 +99,7 @@ def block_ids(w: _text.Words, path: str) -> tuple[np.ndarray, np.ndarray]:
     if len(start):
         h = _text.hash_spans(lower, start, end)
         raw = lower.tobytes()
-        lengths, ids = cache.lookup(h, lambda i: raw[start[i] : end[i]].decode())
+        [(lengths, ids)] = cache.lookup(h, lambda i: (raw[start[i] : end[i]].decode(),))
     else:
         lengths, ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
     total = np.concatenate([[0], np.cumsum(lengths)])[first]
