@@ -419,6 +419,66 @@ def test_html():
         htmltext.main_text(broken)
 
 
+def test_html_keeps_text_after_missing_ends():
+    long = "It was the best of times and it was the worst of times, as all of them said in the end."
+    for bad in ("<button>Click", "<svg><path d=x>", "<svg/>", "<select><option>one", "<iframe src=x>", "<object data=x>", "<canvas>", "<a href=x>link", "<noscript>", "<video src=x>", "<svg><svg></svg><text>in</text></svg>", "<template><p>no</p></template>", "<button>a<b>b</b></button>"):
+        for page in (f"<article><p>{long}</p>{bad}<p>{long}</p><p>{long}</p></article>", f"<div><p>{long}</p>{bad}<p>{long}</p><div>{long}</div></div>"):
+            got = htmltext.main_text(page).split("\n")
+            assert got.count(long) == 3 and set(got) <= {long, "link"}, (bad, got)
+    assert htmltext.main_text(f"<p>{long}</p><script>var a = 1; <p>{long}</p>") == long
+
+
+def test_html_reads_attributes_of_paragraphs_and_inline_elements():
+    long = "It was the best of times and it was the worst of times, as all of them said in the end."
+    page = f'<article><p>{long}</p><p class="advert">Buy it now, as it is the best of all of them and for you.<p class=cookie-notice>We use it.</p><p>And <span class="share">share it <span>now</span></span>then <a href=x class="social-link">post</a> it <em>was</em> over.</p></article>'
+    assert htmltext.main_text(page) == f"{long}\nAnd then it was over."
+    assert htmltext.main_text(f"<p class=sponsored>{long}</p><p>{long}</p>") == long
+
+
+def test_html_in_languages_without_known_stop_words():
+    ru = "Это был лучший из дней. Это был худший из дней, и все они так говорили в конце."
+    ja = "これは最高の時代であり、最悪の時代でもあった。人々はみなそう言った。終わりまで。"
+    tr = "Zamanlarin en iyisiydi, zamanlarin en kotusuydu. Hepsi sonunda boyle soyledi."
+    for text in (ru, ja, tr):
+        page = f"<div><a href=x>{text[:8]}</a> <a href=y>{text[9:14]}</a></div><div>{text}</div><p>{text}</p><ul><li><a href=z>{text[:12]}</a></ul>"
+        assert htmltext.main_text(page) == f"{text}\n{text}", text
+
+
+def made_page(rng):
+    """A page and its main text, both by construction."""
+    words = "the of and to in is that it for on with as are was be by this at or from an not but which have had his they you were all".split() + [f"w{i}x" for i in range(60)]
+    say = lambda a, b: " ".join(rng.choice(words, rng.integers(a, b)).tolist()).capitalize() + "."
+    mark = lambda t: t.replace(" the ", " <i>the</i> ").replace(" of ", " &#111;f\n ").replace(" is ", " <!-- <p>no</p> -->is ")
+    end = lambda x: x if rng.random() < 0.7 else ""
+    main, body = [], []
+    for _ in range(rng.integers(2, 12)):
+        t = say(12, 60) if rng.random() < 0.7 else say(2, 6)
+        kind = rng.choice(["p", "p", "h2", "li", "blockquote", "div"])
+        opened = {"li": "<ul><li>"}.get(kind, f"<{kind}>")
+        closed = {"li": "</ul>", "p": end("</p>")}.get(kind, f"</{kind}>")
+        body.append(opened + mark(t) + closed)
+        main.append(t)
+        if rng.random() < 0.4:
+            body.append(rng.choice([f'<div class="ad">{say(5, 30)}</div>', f'<p class="promo">{say(5, 20)}</p>', f"<aside><p>{say(10, 30)}</aside>", f"<form><label>{say(2, 5)}</label><button>{say(1, 3)}</button></form>", f"<script>if (a < b) {{ '{say(3, 9)}' }}</script>", f"<figure><svg><text>{say(2, 4)}</text></svg></figure>"]))
+    nav = "<nav><ul>" + "".join(f"<li><a href=/{i}>{say(1, 3)}</a>{end('</li>')}" for i in range(5)) + "</ul></nav>"
+    notes = f'<section id="comments"><h3>{say(1, 3)}</h3><article class="comment"><p>{say(10, 40)}</article></section>'
+    page = f"<!DOCTYPE html><html><head><title>{say(2, 6)}</title><style>p {{}}</style></head><body><header><h1>{say(1, 4)}</h1></header>{nav}<article>{''.join(body)}</article><div id=sidebar><p>{say(10, 40)}</p></div>{notes}<footer>{say(4, 20)}</footer></body></html>"
+    return page, "\n".join(main)
+
+
+def test_html_against_pages_made_with_their_text():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        page, want = made_page(rng)
+        assert htmltext.main_text(page) == want, page
+
+
+def test_html_of_a_very_long_page():
+    text = "It was the best of times and it was the worst of times."
+    page = "<article>" + f"<p>{text} &amp;<p><a href=x>{text}</a>" * 20_000 + "</article>"
+    assert htmltext.main_text(page) == "\n".join([f"{text} &", text] * 20_000)
+
+
 def test_html_table(spark):
     rows = spark.createDataFrame([(1, "u", None, "x"), (1, "u", "<p>a", "x"), (None, None, "", "x")], "page_id bigint, url string, html string, text string")
     assert [r["n_chars"] for r in htmltext.extract(rows).orderBy("page_id", "n_chars").collect()] == [0, 0, 1]

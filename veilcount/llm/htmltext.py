@@ -2,20 +2,27 @@
 
 A page is cut into blocks at block-level tags.  First pass: a block is bad when it
 stands in a container of boilerplate (navigation, header or footer of the page,
-aside, form, or a class, id or role that says advert, notice, menu, comment, ...) or
-is mostly links; good when it is long enough and dense in stop words; undecided
-otherwise.  Where the page marks its article (article, main, itemprop articleBody),
-blocks outside it are bad and its borders count as good neighbours.  Second pass:
-undecided blocks inherit from the nearest decided neighbours of their section; if
-the two disagree the nearer one wins, and bad wins a tie.
-
-Text is what a browser's parser would see: raw-text elements are skipped, comments
-dropped, character references decoded, tags need no end.  White space within a
-block becomes one space; blocks are joined by one line feed.
-
-Defined cases: null or empty html gives empty text; malformed markup never fails;
+aside, form, or an element, paragraphs included, whose class, id or role says advert,
+notice, menu, comment, ...) or is mostly links; good when it is long enough and dense
+in stop words; undecided otherwise.  On pages in languages whose stop words are not
+known (under ``KNOWN`` of the words) a block's sentence ends and length are the
+measure in place of its density.  Where the page marks its article (article, main,
+itemprop articleBody), blocks outside it are bad and its borders count as good
+neighbours.  Second pass: undecided blocks inherit from the nearest decided neighbours
+of their section; if the two disagree the nearer one wins, and bad wins a tie.
+
+Text is what a browser's parser would see: comments are dropped, character references
+decoded, tags need no end.  Raw text (script, style, ...) and elements that are not text
+(svg, buttons, selections, players, ...) are skipped with all that nests in them, as are
+inline elements that say advert or share buttons.  An end tag that is missing costs no
+text: a skipped element without one ends at the next block-level tag, only script and
+style run on to the end of the page as in browsers; a link without one ends with its
+block.  White space within a block becomes one space; blocks are joined by one line feed.
+
+Defined cases: null or empty html gives empty text; malformed markup never fails; a very
+long page is read in one pass, without a limit; a tie between neighbours is bad;
 repeated rows are repeated; an empty table gives an empty result; extra columns are
-ignored unless named in ``keep``.
+ignored, whatever their names, unless named in ``keep``.
 """
 
 from __future__ import annotations
@@ -29,14 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_CHARS, LONG_CHARS, STOP_LOW, STOP_HIGH, LINK_SHARE = 40, 140, 0.15, 0.3, 0.5
+MIN_CHARS, LONG_CHARS, STOP_LOW, STOP_HIGH, LINK_SHARE, KNOWN = 40, 140, 0.15, 0.3, 0.5, 0.05
 
 # Element names of HTML, words that name boilerplate in class and id, and stop words.
-RAW = "script style noscript template svg iframe object textarea select math canvas audio video title button".split()
+RAW = "script style title textarea iframe noscript noembed noframes xmp".split()
+SKIP = "svg math button select object canvas audio video template datalist map".split()
 BLOCK = "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
-BAD = "nav aside form footer menu dialog".split()
+BAD = "nav aside form footer menu dialog option optgroup".split()
 NAMES = "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget alert".split()
+INLINE = "ad ads advert adverts advertisement advertising promo promoted share sharing social sponsor sponsored".split()
 STOP = set(
     "the of and to in is that it for on with as are was be by this at or from an not but which have had his they you were all their has there been if more when will would who so no a "
     "de la le les et des en un une du que est pour dans qui sur pas au par plus ce il ne se avec son ou mais aux sont elle été cette ces nous vous leur on être fait "
@@ -47,11 +56,32 @@ STOP = set(
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _LETTERS = re.compile(r"[^\W\d_]+")
-_RAW, _BLOCK, _VOID, _BAD, _NAMES = map(frozenset, (RAW, BLOCK, VOID, BAD, NAMES))
+_ANCHOR = re.compile(r"<(/?)a(?=[\s>/])", re.I)
+_SENTENCE = re.compile(r"[.!?\u2026\u061f\u06d4\u0964\u0589][\"'\u201d\u2019\u00bb)\]]*(?=\s|$)|[\u3002\uff01\uff1f]")
+_WIDE = re.compile(r"[\u2e80-\u9fff\uac00-\ud7af\uff00-\uffef]")
+_RAW, _SKIP, _BLOCK, _VOID, _BAD, _NAMES, _INLINE = map(frozenset, (RAW, SKIP, BLOCK, VOID, BAD, NAMES, INLINE))
+_EDGE = re.compile(rf"</?(?:{'|'.join(BLOCK)})(?=[\s>/])", re.I)
+_OWN = frozenset("body html article main".split())
 #: What a start tag ends if that is open.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+def _ends(page: str, name: str) -> dict[int, int]:
+    """Of each start tag of an element that is skipped and has an end tag: where it begins, and where the end tag ends."""
+    out: dict[int, int] = {}
+    open_: list[int] = []
+    for m in re.compile(rf"<(/?){name}(?=[\s>/])[^>]*>", re.I).finditer(page):
+        if not m[1] and not m[0].endswith("/>"):
+            open_.append(m.start())
+        elif m[1] and open_:
+            if name in _RAW:  # nothing nests
+                out |= dict.fromkeys(open_, m.end())
+                open_.clear()
+            else:
+                out[open_.pop()] = m.end()
+    return out
+
+
 class Block(NamedTuple):
     text: str
     linked: int  # characters in links
@@ -64,88 +94,141 @@ def _words_of(attributes: str) -> set[str]:
     return set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found).lower()))
 
 
-def blocks(page: str) -> list[Block]:
-    out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # element, whether bad, section
-    parts: list[str] = []
-    state = {"link": 0, "linked": 0, "sections": 0}
-
-    def close() -> None:
-        text = " ".join(entities.unescape("".join(parts)).split())
-        if text:
-            bad, section = stack[-1][1:] if stack else (False, 0)
-            out.append(Block(text, min(state["linked"], len(text)), bad, section))
-        parts.clear()
-        state["linked"] = 0
-
-    def say(raw: str) -> None:
-        if raw:
-            parts.append(raw)
-            if state["link"]:
-                state["linked"] += len(raw.strip())
+class _Reader:
+    """What is open while a page is read, and the blocks so far."""
+
+    def __init__(self) -> None:
+        self.out: list[Block] = []
+        self.stack: list[tuple[str, bool, int]] = []  # element, whether bad, section
+        self.parts: list[str] = []
+        self.linked = self.sections = self.deep = 0
+        self.link = self.loose = False
+        self.mute = ""
+        self.ends: dict[str, dict[int, int]] = {}
+
+    def past(self, page: str, name: str, start: int, at: int) -> int:
+        """Where to go on after the start tag, from start to at, of an element that is skipped."""
+        if name not in self.ends:
+            self.ends[name] = _ends(page, name)
+        if start in self.ends[name]:
+            return self.ends[name][start]
+        if name in ("script", "style"):
+            return len(page)
+        if name in _RAW:
+            return at
+        edge = _EDGE.search(page, at)
+        return edge.start() if edge else len(page)
+
+    def close(self) -> None:
+        """A border of blocks."""
+        if self.parts:
+            text = " ".join(entities.unescape("".join(self.parts)).split())
+            if text:
+                bad, section = self.stack[-1][1:] if self.stack else (False, 0)
+                self.out.append(Block(text, min(self.linked, len(text)), bad, section))
+            self.parts = []
+        self.linked = 0
+        self.mute = ""
+        if self.loose:
+            self.link = self.loose = False
+
+    def say(self, raw: str) -> None:
+        if raw and not self.mute:
+            self.parts.append(raw)
+            if self.link:
+                self.linked += len(raw.strip())
+
+    def pop(self, name: str) -> None:
+        if any(x[0] == name for x in self.stack):
+            while self.stack.pop()[0] != name:
+                pass
 
+    def push(self, name: str, attributes: str) -> None:
+        """A block-level element begins."""
+        self.close()
+        while self.stack and self.stack[-1][0] in ("p", "option", "optgroup") and (name, self.stack[-1][0]) != ("option", "optgroup"):
+            self.stack.pop()
+        ends = _ENDS.get(name, ())
+        while self.stack and self.stack[-1][0] in ends:
+            self.stack.pop()
+        if name in _VOID:
+            return
+        bad, section = self.stack[-1][1:] if self.stack else (False, 0)
+        words = _words_of(attributes) if "=" in attributes else set()
+        named = bool(words & _NAMES) and name not in _OWN
+        bad = bad or name in _BAD or named or (name == "header" and not section) or (name == "article" and bool(words & {"comment", "comments", "reply", "replies", "related", "promo", "ad"}))
+        if not section and not bad and (name in ("article", "main") or "articlebody" in words or {"article", "body"} <= words):
+            self.sections += 1
+            section = self.sections
+        self.stack.append((name, bad, section))
+
+
+def blocks(page: str) -> list[Block]:
+    r = _Reader()
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         if not m:
-            say(page[at:])
+            r.say(page[at:])
             break
-        say(page[at : m.start()])
+        r.say(page[at : m.start()])
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
         if m[1]:
+            if name == r.mute:
+                r.deep -= 1
+                if not r.deep:
+                    r.mute = ""
             if name == "a":
-                state["link"] = max(0, state["link"] - 1)
+                r.link = r.loose = False
             if name in _BLOCK:
-                close()
-                if any(x[0] == name for x in stack):
-                    while stack.pop()[0] != name:
-                        pass
-            continue
-        if name in _RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            if name == "title" or end or not m[3].rstrip().endswith("/"):
-                at = end.end() if end else n
-            continue
-        if name in ("br", "wbr"):
-            parts.append(" " if name == "br" else "")
+                r.close()
+                r.pop(name)
             continue
-        if name == "a":
-            state["link"] = 1
-        if name in _BLOCK:
-            close()
-            ends = _ENDS.get(name, ())
-            while stack and stack[-1][0] in ends:
-                stack.pop()
-            if name in _VOID or name == "p":
-                continue
-            bad, section = stack[-1][1:] if stack else (False, 0)
-            words = _words_of(m[3]) if "=" in m[3] else set()
-            bad = bad or name in _BAD or bool(words & _NAMES) and name not in ("body", "html", "article", "main") or (name == "header" and not section) or (name == "article" and bool(words & {"comment", "comments", "reply", "replies", "related", "promo", "ad"}))
-            if not section and not bad and (name in ("article", "main") or "articlebody" in words or {"article", "body"} <= words):
-                state["sections"] += 1
-                section = state["sections"]
-            stack.append((name, bad, section))
-    close()
-    return out
+        if name in _RAW or name in _SKIP:
+            if not m[3].rstrip().endswith("/"):
+                at = r.past(page, name, m.start(), at)
+        elif name in ("br", "wbr"):
+            r.say(" " if name == "br" else "")
+        elif name in _BLOCK:
+            r.push(name, m[3])
+        else:
+            if name == "a":
+                following = _ANCHOR.search(page, at)
+                r.link, r.loose = True, not (following and following[1])
+            if name == r.mute:
+                r.deep += 1
+            elif not r.mute and "=" in m[3] and name not in _VOID and _words_of(m[3]) & _INLINE:
+                r.mute, r.deep = name, 1
+    r.close()
+    return r.out
+
+
+def _density(text: str) -> tuple[int, int]:
+    words = _LETTERS.findall(text.lower())
+    return sum(w in STOP for w in words), len(words)
 
 
 def judge(found: list[Block]) -> list[bool]:
     """Whether each block belongs to the main text."""
     marked = any(b.section and not b.bad for b in found)
+    outside = [b.bad or (marked and not b.section) or (b.linked > LINK_SHARE * len(b.text) and not b.section) for b in found]
+    counts = [(0, 0) if out else _density(b.text) for b, out in zip(found, outside, strict=True)]
+    known = sum(x for x, _ in counts) >= KNOWN * sum(n for _, n in counts)
     decided: list[bool | None] = []
-    for b in found:
-        if b.bad or (marked and not b.section):
-            decided.append(False)
-        elif b.linked > LINK_SHARE * len(b.text) and not b.section:
+    for b, out, (stops, n) in zip(found, outside, counts, strict=True):
+        wide = 0 if known else len(_WIDE.findall(b.text))
+        if out:
             decided.append(False)
-        elif len(b.text) < MIN_CHARS:
+        elif len(b.text) + 2 * wide < MIN_CHARS:
             decided.append(None)
+        elif not known:
+            ends = len(_SENTENCE.findall(b.text))
+            decided.append(True if ends > 1 or (ends and len(b.text) + 2 * wide >= LONG_CHARS) else None if b.section or ends else False if b.linked else None)
         else:
-            words = _LETTERS.findall(b.text.lower())
-            density = sum(w in STOP for w in words) / max(1, len(words))
+            density = stops / max(1, n)
             if density >= STOP_HIGH or (density >= STOP_LOW and len(b.text) >= LONG_CHARS):
                 decided.append(True)
             elif b.section or density >= STOP_LOW:
