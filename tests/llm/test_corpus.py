@@ -510,13 +510,40 @@ def test_licenses(spark, edge, none):
     assert licenses.scan(edge).where("licenses = 'MIT'").count() == 1 and licenses.scan(none).count() == 0
 
 
+# Licences as they stand in files: wrapped, with quotation marks, notices between, and comment signs.
+FILES = {
+    "MIT": 'MIT License\n\nCopyright (c) 2020 A. B.\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.\n',
+    "BSD-3-Clause": "BSD 3-Clause License\n\nCopyright (c) 2020, A. B.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n",
+    "Apache-2.0": '/*\n * Licensed under the Apache License, Version 2.0 (the "License");\n * you may not use this file except in compliance with the License.\n * You may obtain a copy of the License at\n *\n *     http://www.apache.org/licenses/LICENSE-2.0\n *\n * Unless required by applicable law or agreed to in writing, software\n * distributed under the License is distributed on an "AS IS" BASIS,\n * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n * See the License for the specific language governing permissions and\n * limitations under the License.\n */\nint main;',
+    "GPL-3.0-or-later": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# This program is distributed in the hope that it will be useful,\n# but WITHOUT ANY WARRANTY; without even the implied warranty of\n# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n# GNU General Public License for more details.\n#\n# You should have received a copy of the GNU General Public License\n# along with this program.  If not, see <https://www.gnu.org/licenses/>.\n",
+    "LGPL-2.1-or-later": "// This library is free software; you can redistribute it and/or\n// modify it under the terms of the GNU Lesser General Public\n// License as published by the Free Software Foundation; either\n// version 2.1 of the License, or (at your option) any later version.\n",
+    "ISC": 'ISC License\n\nCopyright (c) 2020, A. B.\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\nREGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\nAND FITNESS.',
+    "MPL-2.0": "<!-- This Source Code Form is subject to the terms of the Mozilla Public\n   - License, v. 2.0. If a copy of the MPL was not distributed with this\n   - file, You can obtain one at https://mozilla.org/MPL/2.0/. -->\n",
+    "EPL-2.0": "// SPDX-License-Identifier: EPL-2.0\npackage a;",
+    "AGPL-3.0": "                    GNU AFFERO GENERAL PUBLIC LICENSE\n                       Version 3, 19 November 2007\n\n Copyright (C) 2007",
+    "CC-BY-NC-ND-3.0": "This work is licensed under a Creative Commons\nAttribution-NonCommercial-NoDerivatives 3.0 Unported License.",
+}
+
+
+def test_licenses_in_files_and_by_sql(spark, tmp_path):
+    names = list(FILES)
+    rows = [(i, FILES[x]) for i, x in enumerate(names)] + [(50, "Apache License, v. 2.0 and v.\n3"), (51, FILES["MIT"] + FILES["Apache-2.0"]), (52, "all rights\r\nreserved"), (53, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: tuple(r) for r in queries.op10_license_scan(spark, str(tmp_path)).collect()}
+    assert {i: got[i][3] for i in range(len(names))} == dict(enumerate(names))
+    assert got[51][3] == "Apache-2.0,MIT"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert {r[0]: r for r in con.sql(queries.oracle_sql()["op10_license_scan"]).fetchall()} == got
+
+
 def test_licenses_wrapped(spark):
     known = {licenses.plain(s): str(i) for i, s in licenses.SENTENCES.items()}  # 21 and 24 differ in a sign only
     one = lambda i: known[licenses.plain(licenses.SENTENCES[i])]
     whole = [(i, s, one(i), None) for i, s in licenses.SENTENCES.items()]
     rules = [(1000 + k, "\n\n".join(licenses.SENTENCES[i] for i in ids), ",".join(map(one, ids)), name) for k, (ids, name) in enumerate(licenses.RULES)]
     rows = whole + rules
-    wrap = lambda t, w: "\n\n".join("\n".join(textwrap.wrap(p, w)) for p in t.split("\n\n"))
+    wrap = lambda t, w: "\n\n".join("\n".join(textwrap.wrap(p, w, break_long_words=False)) for p in t.split("\n\n"))
     for width in (10**6, 72, 40):
         docs = spark.createDataFrame([(i, wrap(t, width)) for i, t, *_ in rows], "doc_id bigint, text string")
         got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}

@@ -122,22 +122,27 @@ FROM a LEFT JOIN k ON k.doc_id = a.doc_id"""
 
 
 def _license_scan_sql() -> str:
-    known = ", ".join(f"('{licenses.plain(s)}', {i})" for i, s in licenses.SENTENCES.items())
-    sign = lambda ids: "".join(f"|{i}|" for i in ids)
-    rest, hits = "trail", []
-    for ids, name in sorted(licenses.RULES, key=lambda r: (-len(r[0]), r[0])):
-        hits.append(f"CASE WHEN contains({rest}, '{sign(ids)}') THEN '{name}' END")
-        if len(ids) > 1:
-            rest = f"replace({rest}, '{sign(ids)}', '|0|')"
+    """Cuts that a sentence may run across are one line feed, others two or more; then each is doubled, so that a match can take one on either side."""
+    known = licenses.known_sentences()
+    values = ", ".join(f"('{s}', {i})" for s, i in known.items())
+    any_of = "|".join(s.replace(" ", r"(?: |\n\n)") for s in sorted(known, key=len, reverse=True))
+    rest, steps, hits = "trail", [], []
+    for n, (sign, name) in enumerate(licenses.ordered_rules()):
+        hits.append(f"CASE WHEN contains({rest}, '{sign}') THEN '{name}' END")
+        if "||" in sign:
+            steps.append(f"replace({rest}, '{sign}', '|0|') AS r{n}")
+            rest = f"r{n}"
     return rf"""
-WITH known(s, id) AS (VALUES {known}),
-a AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.;:!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)) AS parts FROM documents),
-p AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM a),
-n AS (SELECT doc_id, i, trim(regexp_replace(lower(part), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS s FROM p),
-t AS (SELECT doc_id, count(*) AS n_sentences, string_agg(id, ',' ORDER BY i) AS sentence_ids, '|' || string_agg(id, '||' ORDER BY i) || '|' AS trail FROM n JOIN known ON known.s = n.s GROUP BY doc_id),
-h AS (SELECT doc_id, n_sentences, sentence_ids, list_sort(list_distinct([{", ".join(hits)}])) AS found FROM t)
+WITH known(s, id) AS (VALUES {values}),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '((?:^|[^\p{{L}}\p{{N}}_])[vV]\.|Identifier:)[\x20\x09-\x0D]+', '\1' || chr(1), 'g'), '([.;:!?])[\x20\x09-\x0D]+', '\1' || chr(10) || chr(10), 'g') AS cut FROM documents),
+n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(replace(cut, chr(1), chr(10))), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g')) AS s FROM c),
+m AS (SELECT doc_id, regexp_extract_all(chr(10) || replace(s, chr(10), chr(10) || chr(10)) || chr(10), '\n(?:{any_of})\n') AS found FROM n),
+p AS (SELECT doc_id, unnest(found) AS part, generate_subscripts(found, 1) AS i FROM m),
+t AS (SELECT doc_id, count(*) AS n_sentences, string_agg(id, ',' ORDER BY i) AS sentence_ids, '|' || string_agg(id, '||' ORDER BY i) || '|' AS trail
+      FROM p JOIN known ON known.s = trim(regexp_replace(part, '\n+', ' ', 'g')) GROUP BY doc_id),
+h AS (SELECT doc_id, n_sentences, sentence_ids, {", ".join(["trail", *steps])}, list_sort(list_distinct([{", ".join(hits)}])) AS found FROM t)
 SELECT a.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(sentence_ids, '') AS sentence_ids, coalesce(array_to_string(found, ','), '') AS licenses
-FROM a LEFT JOIN h ON h.doc_id = a.doc_id"""
+FROM documents a LEFT JOIN h ON h.doc_id = a.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
