@@ -407,6 +407,175 @@ def test_language_sample_keeps_rare_languages(spark):
     assert langid.quotas({"a": 1000, "b": 6, "c": 10**9}, 106) == {"b": 6, "a": 50, "c": 50}
 
 
+def brute_languages(rows, model):
+    """{row number: (language, confidence)} by the formulas, row by row; rows: text, declared, host."""
+    size, kappa = len(model.languages), langid.KAPPA
+    logs, soft, count = [], [], []
+    for text, _, _ in rows:
+        raw = list((text or "").encode())
+        x = [ord(chr(b).lower()) if b < 0x80 and chr(b).isalpha() else 0x20 if b < 0x80 else b + 0x20 if k and raw[k - 1] == 0xC3 and 0x80 <= b <= 0x9E and b != 0x97 else b for k, b in enumerate(raw)]
+        grams = [tuple(x[k : k + 3]) for k in range(len(x) - 2)]
+        grams = [g for g in grams if (g[0], g[1]) != (32, 32) and (g[1], g[2]) != (32, 32)]
+        keys = [((a | b << 8 | c << 16) * 0x9E3779B1 % 2**32) >> 18 for a, b, c in grams]
+        z = np.zeros(size) if not keys else model.logs[:, keys].mean(axis=1) * min(len(keys), langid.EFFECTIVE)
+        e = np.exp(z - z.max())
+        logs.append(z), soft.append(e / e.sum() * bool(keys)), count.append(len(keys))
+    declared = [(re.match("[a-z]+", (d or "").strip().lower()) or [None])[0] for _, d, _ in rows]
+    hosts = [h.strip().lower() if h is not None else None for _, _, h in rows]
+    up = {}
+    for h in set(hosts) - {None}:
+        labels = h.split(".")
+        up[h] = (".".join(labels[-2:]) if len(labels) > 2 else h, labels[-1] if len(labels) > 1 else "")
+    said = np.full((size, size), 0.5)
+    total = [collections.defaultdict(lambda: np.zeros(size)) for _ in range(3)]
+    for d, h, s in zip(declared, hosts, soft, strict=True):
+        if d in model.languages:
+            said[model.languages.index(d)] += s
+        if h is not None:
+            for t, key in zip(total, (h, *up[h]), strict=True):
+                t[key] += s
+    said = np.log(said / said.sum(axis=0))
+    share = lambda n, base: (n + kappa * base) / (n.sum() + kappa)
+    out = {}
+    for k, (z, d, h, s, n) in enumerate(zip(logs, declared, hosts, soft, count, strict=True)):
+        score = z.copy()
+        if d in model.languages:
+            score += said[model.languages.index(d)]
+        if h is not None:
+            domain, suffix = up[h]
+            base = share(total[1][domain], share(total[2][suffix], np.full(size, 1 / size)))
+            score += np.log(np.maximum(share(total[0][h] - s, base), 1e-9))
+        p = np.exp(score - score.max())
+        out[k] = (model.languages[int(p.argmax())], 1 / p.sum()) if n else ("und", 0.0)
+    return out
+
+
+def test_language_id_by_brute_force_with_hosts_in_a_hierarchy(spark, real):
+    rng = np.random.default_rng(8)
+    hosts = ["www.a.fr", "b.a.fr", "a.fr", "shop.x.de", "x.de", "news.co.uk", "plain", "", None, "M.A.FR "]
+    tags = lambda x: [x, f"{x.upper()}-XX", f" {x}", None, "", "zz", "en"][rng.integers(7)]
+    cut = lambda t: (t or "")[: int(rng.choice([0, 2, 9, 25, 60, 4000]))]
+    rows = [(cut(r["text"]), tags(r["lang"] or "en"), hosts[rng.integers(len(hosts))]) for r in real.collect()]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, text string, declared string, host string")
+    model = langid.train(df.withColumn("declared", F.expr("nullif(regexp_extract(lower(trim(declared)), '^[a-z]+', 0), '')")))
+    assert len(model.languages) >= 4
+    want = brute_languages(rows, model)
+    got = {r["id"]: r for r in langid.identify(df, ["id"]).collect()}
+    assert len(got) == len(rows)
+    for i, (language, confidence) in want.items():
+        assert abs(got[i]["confidence"] - confidence) < 2e-6, i
+        assert got[i]["language"] == language or 0.49 < confidence < 0.51
+        assert got[i]["rejected"] == (got[i]["confidence"] < 0.5)
+    alone = {r["id"]: r["confidence"] for r in langid.identify(df.withColumn("host", F.lit(None).cast("string")), ["id"]).collect()}
+    assert any(abs(alone[i] - got[i]["confidence"]) > 0.05 for i in got)  # hosts count
+
+
+def test_languages_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    rows = [(f"l{chr(97 + i % 8)}", prose(i, 20)) for i in range(8 * 30)] + [("la", prose(900 + i, 20)) for i in range(9)] + [("rare", prose(i)) for i in range(4)]
+    assert langid.train(spark.createDataFrame(rows, "declared string, text string")).languages == ["la", "lb", "lc"]
+
+
+def smith_waterman(item, text):
+    h = np.zeros(len(text) + 1, int)
+    best = 0
+    for x in item:
+        t = np.maximum(h - 1, 0)
+        t[1:] = np.maximum(t[1:], h[:-1] + np.where([x == y for y in text], 2, -1)) if len(text) else t[1:]
+        for j in range(1, len(t)):
+            t[j] = max(t[j], t[j - 1] - 1)
+        h = t
+        best = max(best, int(h.max()))
+    return best / (2 * len(item))
+
+
+def test_decontamination_scores_by_brute_force(spark):
+    """Every score, and that nothing else is found, over items edited by replacing, leaving out and putting in words."""
+    rng = np.random.default_rng(6)
+    items = {i: prose(300 + i, int(rng.integers(3, 30))).split() for i in range(12)} | {50: ["same"] * 6, 51: ["two", "words"]}
+    docs = {}
+    for d in range(60):
+        words = prose(400 + d, 15).split()
+        for i in rng.choice(list(items), 2, replace=False):
+            kept = []
+            for w in items[i]:
+                u = rng.random()
+                kept += [w] if u > 0.3 else [] if u > 0.2 else [f"q{d}"] if u > 0.1 else [w, f"q{d}"]
+            words += kept + prose(500 + d, 12).split()
+        docs[d] = words
+    docs[60] = ["same"] * 500 + items[3] * 9  # one item again and again
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id bigint, text string")
+    table = spark.createDataFrame([(d, " ".join(x).upper() + "!") for d, x in docs.items()], "doc_id bigint, text string").repartition(4)
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontam.leaks(table, bench).collect()}
+    want = {}
+    for d, text in docs.items():
+        grams = {tuple(text[k : k + 3]) for k in range(len(text) - 2)}
+        for i, x in items.items():
+            if any(tuple(x[k : k + 3]) in grams for k in range(len(x) - 2)) and (score := smith_waterman(x, text)) >= decontam.THRESHOLD:
+                want[d, i] = score
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert 30 < len(want) < 130
+
+
+def test_decontamination_of_very_long_texts_works_in_bounded_steps(spark, monkeypatch):
+    sizes = []
+    align = decontam.align
+    monkeypatch.setattr(decontam, "align", lambda a, b: (sizes.append(len(b) * max(map(len, b))), align(a, b))[1])
+    words = prose(11, 40).split()
+    bench = [{"item_id": 1, "text": " ".join(words)}, {"item_id": 2, "text": "same same same same"}]
+    text = " ".join(["same"] * 300_000 + words[:30] + words * 200 + ["x"] * 1000 + words)
+    block = decontam.items(bench)
+    seeds = decontam.seeds(block, decontam.Keys(block.grams(3)[0]), np.zeros(0), 3, 1)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([text])], ["doc_id", "text"])
+    found = [r for b in decontam._leaks(block, seeds, 3, 0.5)([batch]) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["item_id"], r["score"]) for r in found] == [(7, 1, 1.0), (7, 2, 1.0)]
+    assert max(sizes) <= decontam.AREA
+
+
+def test_ordinal_sample_is_cut_by_hash_alone(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 2000, prose(i, 8)) for i in range(4000)], "doc_id bigint, text string")  # two rows of each doc_id
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(2000)] + [(5, 2)] * 3000, "doc_id bigint, grade int")
+    seen = {}
+    monkeypatch.setattr(ordinal, "fit", lambda rows, grades, levels: seen.update(rows=rows, grades=grades))
+    ordinal.train(docs, ratings, 3, sample=600)
+    share = np.bincount(seen["grades"], minlength=3) / len(seen["grades"])
+    assert len(seen["grades"]) == 600 and (abs(share - 1 / 3) < 0.08).all()
+    monkeypatch.setattr(ordinal, "FEATURES", 3000)
+    ordinal.train(docs, ratings, 3, sample=600)
+    assert 1500 < sum(map(len, seen["rows"])) < 4500
+
+
+def test_ordinal_scores_by_brute_force(spark, real):
+    """P(grade > k) is the logistic of the sum of the weights of the features a text has, less the threshold."""
+    rng = np.random.default_rng(2)
+    model = ordinal.Model(rng.normal(0, 0.05, ordinal.BUCKETS).astype(np.float32).astype(float), np.array([-0.3, 0.4]))
+    for r, row in zip(real.orderBy("doc_id").collect(), ordinal.score(real, model, 3).orderBy("doc_id").collect(), strict=True):
+        raw = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        key, _ = ordinal.features(raw, np.array([0, len(raw)]))
+        assert len(set(key.tolist())) == len(key)
+        z = model.weights[key].sum()
+        tails = [1 / (1 + np.exp(-(z - t))) for t in model.thresholds]
+        assert np.allclose(row["tails"], tails, atol=1e-4) and abs(row["expected_grade"] - sum(tails)) < 2e-4
+        assert row["kept"] == (row["expected_grade"] >= 1 and row["tails"][0] >= 0.5)
+
+
+def test_columns_that_clash(spark):
+    names = "key node rank h band n text_a __vc_d __vc_k __vc_0 __vc_1 __vc_in __vc_word spans d k line bits word score grade host declared language".split()
+    rows = [(i, prose(i % 5) + "\n" + LINES, "en", "a.b.de", *range(len(names))) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, " + ", ".join(f"{x} bigint" for x in names))
+    plain = docs.select("doc_id", "text", "lang", "source")
+    model = ordinal.Model(np.zeros(ordinal.BUCKETS), np.zeros(2))
+    bench = spark.createDataFrame([(1, prose(2))], "item_id bigint, text string")
+    for f in (neardup.classes, substr.dedup, licenses.scan, lambda x: decontam.leaks(x, bench.withColumn("key", F.lit(1))), lambda x: langid.identify(langid.of_documents(x), ["doc_id"]), lambda x: ordinal.score(x, model, 3), lambda x: fertility.judge(x, *VOCABULARIES), lambda x: packing.pack(x, vocabulary("word_bpe_49k.json")).drop("sequence_id", "offset")):
+        assert sorted(map(repr, f(docs).collect())) == sorted(map(repr, f(plain).collect()))
+    out = linededup.dedup(docs)
+    assert out.columns == [*docs.columns, "__vc_spans"] and sorted(map(repr, out.select("doc_id", "text").collect())) == sorted(map(repr, linededup.dedup(plain).select("doc_id", "text").collect()))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns, name
+
+
 def test_html():
     page = """<html><head><title>t</title></head><body><header><a href=/>Home</a></header><nav><ul><li>menu</ul></nav><div class="cookie-notice">We use it on the site and for the rest of it.</div>
     <article><h1>Short &amp; plain</h1><p>One.<p>Two<br>lines &nbsp; here &eacute;<script>var a = "<p>no</p>";</script></p><form><p>mail</p></form><!-- <p>no</p> --></article>
@@ -561,3 +730,45 @@ def test_pipeline_stages(spark, edge, none):
         assert stage(spark, none, SF).count() == 0
     near = corpus_pipeline.near_dedup(spark, docs, SF).select("doc_id").collect()
     assert {r[0] for r in near} == {1, 4, 5, 6, 7, 8, 9, 10, 11, None}
+
+
+def test_pipeline_run_by_brute_force(spark):
+    """Each stage on what the one before kept; the rows of run() are the pieces of what is left."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rejected = {r["doc_id"] for r in langid.identify(langid.of_documents(docs), ["doc_id"]).where("rejected").collect()}
+    texts = {i: t for i, t in texts.items() if i not in rejected}
+    assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SF).collect()} == texts.keys()
+    lines = {}
+    rows = sorted(texts.items())
+    seen = set()  # windows of three lines that stand earlier
+    for i, t in rows:
+        all_of = (t or "").split("\n")
+        at = [n for n, x in enumerate(all_of) if x.strip(linededup.BLANKS)]
+        gone = set()
+        for a, b, c in zip(at, at[1:], at[2:]):
+            window = tuple(all_of[n].strip(linededup.BLANKS) for n in (a, b, c))
+            gone |= set(range(a, c + 1)) if window in seen else set()
+            seen.add(window)
+        left = "\n".join(x for n, x in enumerate(all_of) if n not in gone)
+        if not gone or WORD.search(left):
+            lines[i] = left
+    classes = brute_classes(list(lines.items()))
+    lines = {i: t for i, t in lines.items() if classes[i] == i}
+    bench = {r["item_id"]: re.findall(r"[^\W_]+", r["text"].lower()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    leaked = set()
+    for i, t in lines.items():
+        words = re.findall(r"[^\W_]+", t.lower())
+        grams = {tuple(words[k : k + 3]) for k in range(len(words) - 2)}
+        if any(any(tuple(x[k : k + 3]) in grams for k in range(len(x) - 2)) and smith_waterman(x, words) >= 0.5 for x in bench.values()):
+            leaked.add(i)
+    lines = {i: t for i, t in lines.items() if i not in leaked}
+    assert leaked and len(lines) < len(classes)
+    packed = corpus_pipeline.run(spark, SF).collect()
+    left = spark.createDataFrame(list(lines.items()), "doc_id bigint, text string")
+    want = packing.pieces(left, vocabulary("word_bpe_49k.json")).collect()
+    assert sorted(tuple(r)[:5] for r in packed) == sorted(map(tuple, want))
+    fill = collections.Counter()
+    for r in packed:
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 4096

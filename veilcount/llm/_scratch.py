@@ -15,6 +15,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with signs added where df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def base(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilcount.llm._scratch import free
+
 #: A sieve has at most 2 ** SIEVE rows of 64 bits.
 SIEVE = 18
 
@@ -17,7 +19,7 @@ def sieve(df: DataFrame, key: Column) -> DataFrame:
 
 def marked(df: DataFrame, key: Column, bits: DataFrame, name: str) -> DataFrame:
     """df and whether the sieve has the hash of each row: true for all that the sieve was made of, and for some others."""
-    word, held, h = f"{name}_word", f"{name}_bits", f"{name}_hash"
+    word, held, h = free(df, "__vc_word", "__vc_bits", "__vc_hash")
     known = F.broadcast(bits.select(F.col("word").alias(word), F.col("bits").alias(held)))
     hashed = df.withColumn(h, key)
     found = hashed.join(known, F.shiftrightunsigned(h, 64 - SIEVE) == F.col(word), "left")
@@ -27,4 +29,5 @@ def marked(df: DataFrame, key: Column, bits: DataFrame, name: str) -> DataFrame:
 
 def sifted(df: DataFrame, key: Column, bits: DataFrame) -> DataFrame:
     """The rows of which the sieve has the hash."""
-    return marked(df, key, bits, "__vc_in").where("__vc_in").drop("__vc_in")
+    [name] = free(df, "__vc_in")
+    return marked(df, key, bits, name).where(name).drop(name)

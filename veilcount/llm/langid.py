@@ -153,7 +153,7 @@ def identify(rows: DataFrame, keep: list[str], sample: int = SAMPLE, min_confide
         F.regexp_extract(F.lower(F.trim("declared")), "^[a-z]+", 0).alias("declared"),
         host.alias("host"),
         F.when(F.size(labels) > 2, F.array_join(F.slice(labels, -2, 2), ".")).otherwise(host).alias("domain"),
-        F.when(F.size(labels) > 1, F.element_at(labels, -1)).otherwise(F.lit("")).alias("suffix"),
+        F.when(F.size(labels) > 1, F.element_at(labels, -1)).when(host.isNotNull(), F.lit("")).alias("suffix"),
     ).withColumn("declared", F.when(F.col("declared") != "", F.col("declared")))
     model = train(local.select("text", "declared"), sample)
     size = len(model.languages)

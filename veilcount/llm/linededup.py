@@ -30,8 +30,8 @@ Defined cases: null text stays null with no lines, empty and blank lines are not
 of the sequence and go only within a deleted run; rows of one doc_id with the same
 text count as one document; ties of order cannot be, as (doc_id, hash of the text,
 place) names a line; null doc_id orders last; a very long text is one array of lines in
-one row; an empty table gives an empty result; other columns are carried along, unless
-their names begin with __vc_.
+one row; an empty table gives an empty result; other columns are carried along whatever
+their names, but one called __vc_spans is in the way of the result.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilcount.llm._scratch import Scratch
+from veilcount.llm._scratch import Scratch, free
 from veilcount.llm._sieve import marked, sieve
 
 LEAST, CHARS, PER_BUCKET, PER_BLOCK = 3, 20, 100_000, 1024
@@ -124,7 +124,7 @@ def runs(docs: DataFrame, scratch: Scratch, least: int = LEAST, chars: int | Non
             if chars is None:
                 continue
             found = found.where(F.col("chars") >= chars)
-        first = found.groupBy("rank").agg(F.min(place()).alias("home"))
+        first = scratch.put(found.groupBy("rank").agg(F.min(place()).alias("home")), "first")  # written, so that the join can split a hot rank
         part = found.join(first, "rank").where(place() > F.col("home")).select("d", "k", "line", "last")
         later = part if later is None else later.union(part)
     w = W.partitionBy("d", "k").orderBy("line")
@@ -139,11 +139,12 @@ def dedup(docs: DataFrame, least: int = LEAST, chars: int | None = CHARS, text:
     scratch = Scratch(docs.sparkSession)
     spans = runs(docs, scratch, least, chars, text)
     bits = scratch.put(sieve(spans, F.xxhash64(F.lit(2), "d", "k")), "sieve")
-    keyed = docs.withColumn("__vc_d", F.col("doc_id").cast("bigint")).withColumn("__vc_k", F.xxhash64(text))
-    keyed = marked(keyed, F.xxhash64(F.lit(2), "__vc_d", "__vc_k"), bits, "__vc_in")
-    whole = keyed.where("not __vc_in").withColumn("__vc_spans", F.lit(None).cast(spans.schema["spans"].dataType))
-    named = spans.select(F.col("d").alias("__vc_e"), F.col("k").alias("__vc_l"), F.col("spans").alias("__vc_spans"))
-    joined = keyed.where("__vc_in").join(named, F.col("__vc_d").eqNullSafe(F.col("__vc_e")) & (F.col("__vc_k") == F.col("__vc_l")), "left")
+    d, k, held, e, h = free(docs, "__vc_d", "__vc_k", "__vc_held", "__vc_e", "__vc_h")
+    keyed = docs.withColumn(d, F.col("doc_id").cast("bigint")).withColumn(k, F.xxhash64(text))
+    keyed = marked(keyed, F.xxhash64(F.lit(2), d, k), bits, held)
+    whole = keyed.where(~F.col(held)).withColumn("__vc_spans", F.lit(None).cast(spans.schema["spans"].dataType))
+    named = spans.select(F.col("d").alias(e), F.col("k").alias(h), F.col("spans").alias("__vc_spans"))
+    joined = keyed.where(held).join(named, F.col(d).eqNullSafe(F.col(e)) & (F.col(k) == F.col(h)), "left")
     lines, cut = _lines(F.col(text)), F.col("__vc_spans")
     begin = F.concat(F.array(F.lit(0)), F.transform(cut, lambda s: s["last"] + 1))
     end = F.concat(F.transform(cut, lambda s: s["first"]), F.array(F.size(lines)))
