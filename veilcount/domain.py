@@ -76,6 +76,19 @@ def k_way(n: int, k: int, least: int = 1) -> list[tuple[int, ...]]:
     return [c for r in range(least, k + 1) for c in combinations(range(n), r)]
 
 
+def system(domain: Domain, kind: int | str, limit: int = 5_000) -> list[tuple[int, ...]]:
+    """Subsets of a k-way system: of exactly kind attributes, "3D" of up to three with the empty one, "Small" those of up to limit cells."""
+    if kind == "3D":
+        return k_way(len(domain), 3, 0)
+    if kind == "Small":  # grows by one attribute at a time, as no subset of more cells comes back under the limit
+        out, last = [()], [()]
+        while last:
+            last = [(*s, a) for s in last for a in range(s[-1] + 1 if s else 0, len(domain)) if domain.size(domain.mask((*s, a))) <= limit]
+            out += last
+        return out
+    return k_way(len(domain), int(kind), int(kind))
+
+
 # Published attribute sizes of three census and loan tables, and which attributes are numeric.
 CATALOG = {
     "adult": ((100, 100, 100, 99, 85, 42, 16, 15, 9, 7, 6, 5, 2, 2), 5),

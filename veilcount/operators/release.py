@@ -9,6 +9,7 @@ would draw again and spend the budget twice.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,36 +36,47 @@ class Release:
         """(query_id, row_id, answer, variance) of the workload's or of other queries; raises where a part was not measured."""
         chosen = list(self.plan.workload.queries if queries is None else queries)
         work: dict[int, list] = {}
-        variance = []
         for i, q in enumerate(chosen):
-            variance += [(i, r, float(v)) for r, v in enumerate(self.plan.variances(q))]
-            for m in submasks(q.mask):
-                if m in self.plan.sigma2:
-                    work.setdefault(m, []).append((i, q.part(m)))
-        sizes = {m: self.plan.domain.size(m) for m in work}
-
-        def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-            m = int(key[0])
-            dense = np.zeros(sizes[m])
-            dense[x["idx"].to_numpy()] = x["x"].to_numpy()
-            out = [pd.DataFrame({"query_id": i, "row_id": np.arange(len(a := p.apply(dense))), "part": a}) for i, p in work[m]]
-            return pd.concat(out)
-
+            work.setdefault(0, []).append((i, None, q.n_rows))  # every row has an answer, even where all parts are empty
+            for m, part in self.plan.measured_parts(q):
+                work.setdefault(m, []).append((i, part, q.n_rows))
+        noisy, spark = self.noisy, self.recon.sparkSession
+        sent = _sent(spark, {m: (self.plan.domain.size(m), self.plan.mechanisms.get(m), self.plan.sigma2.get(m, 0.0), parts) for m, parts in work.items()})
+
+        def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for packed in y["packed"]:
+                size, mechanism, sigma2, parts = pickle.loads(packed)
+                dense = np.zeros(size)
+                dense[x["idx"].to_numpy()] = x["x"].to_numpy()
+                for i, part, n in parts:
+                    answer = np.zeros(n) if part is None else part.apply(dense)
+                    spread = sigma2 * mechanism.variances(part) if noisy and part is not None else 0.0
+                    out.append(pd.DataFrame({"query_id": i, "row_id": np.arange(n), "answer": answer, "variance": spread}))
+            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "row_id": [], "answer": [], "variance": []})
+
+        schema = "query_id bigint, row_id bigint, answer double, variance double"
         used = self.recon.where(F.col("mask").isin(list(work)))
-        partial = used.groupBy("mask").applyInPandas(run, "query_id bigint, row_id bigint, part double")
-        summed = partial.groupBy("query_id", "row_id").agg(F.sum("part").alias("answer"))
-        spark = self.recon.sparkSession
-        known = spark.createDataFrame(pd.DataFrame(variance, columns=["query_id", "row_id", "variance"]), "query_id bigint, row_id bigint, variance double")
-        if not self.noisy:
-            known = known.withColumn("variance", F.lit(0.0))
-        return known.join(summed, ["query_id", "row_id"], "left").select("query_id", "row_id", F.coalesce("answer", F.lit(0.0)).alias("answer"), "variance")
+        partial = used.groupBy("mask").cogroup(sent.groupBy("mask")).applyInPandas(run, schema)
+        return partial.groupBy("query_id", "row_id").agg(F.sum("answer").alias("answer"), F.sum("variance").alias("variance"))
+
+    def register(self, marginals_: str = "marginals", answers: str = "answers") -> None:
+        """Temporary views for SQL: reconstructed marginals (mask, idx, x) and the workload's answers."""
+        self.recon.createOrReplaceTempView(marginals_)
+        self.answers().createOrReplaceTempView(answers)
+
+
+def _sent(spark, work: dict[int, object]) -> DataFrame:
+    """(mask, packed): what each subset's task needs, as rows, so that no task is sent the whole plan."""
+    return spark.createDataFrame([(m, pickle.dumps(x)) for m, x in work.items()], "mask bigint, packed binary")
 
 
-def measure(rows: DataFrame, plan: Plan, noise: bool = True, seed: int | None = None, counted: bool = False) -> Release:
+def measure(rows: DataFrame, plan: Plan, noise: bool = True, seed: int | None = None, counted: bool = False, path: str | None = None) -> Release:
     """rows: the table, or with counted its cells (attributes, n).
 
     seed: for tests only; noise then comes from a counter-based generator keyed by (seed, subset), whatever the
-    partitioning.  Without it the operating system's entropy is used.
+    partitioning.  Without it the operating system's entropy is used.  path: where a noisy release is written; one
+    that is there already, whole, is taken as it is, so that a repeated call does not spend the budget again.
     """
     domain, masks = plan.domain, plan.measured
     if not masks:
@@ -72,22 +84,22 @@ def measure(rows: DataFrame, plan: Plan, noise: bool = True, seed: int | None =
     base = rows if counted else to_cells(rows, domain)
     spark = rows.sparkSession
     found = marginals(base, domain, masks) if len(masks) <= 64 else lattice(base, domain, masks)
-    # every subset has a row, even over an empty table
-    empty = spark.createDataFrame([(m, 0, 0.0) for m in masks], "mask bigint, idx bigint, n double")
-    found = found.select("mask", "idx", F.col("n").cast("double").alias("n")).union(empty)
-    mechanisms, sigma2, sizes = {m: plan.mechanisms[m] for m in masks}, plan.sigma2, {m: domain.size(m) for m in masks}
-
-    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        m = int(key[0])
-        dense = np.bincount(x["idx"].to_numpy(np.int64), x["n"].to_numpy(), sizes[m])
-        rng = None
-        if noise:
-            rng = np.random.default_rng() if seed is None else np.random.Generator(np.random.Philox(key=[seed, m]))
-        omega = mechanisms[m].measure(dense, np.sqrt(sigma2[m]), rng)
-        return pd.DataFrame({"mask": m, "idx": np.arange(sizes[m]), "x": mechanisms[m].reconstruct(omega)})
-
-    recon = found.groupBy("mask").applyInPandas(run, "mask bigint, idx bigint, x double")
-    return Release(plan, write_once(recon, "release") if noise else recon, noise)
+    found = found.select("mask", "idx", F.col("n").cast("double").alias("n"))
+    sent = _sent(spark, {m: (domain.size(m), plan.mechanisms[m], float(np.sqrt(plan.sigma2[m]))) for m in masks})
+
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for m, packed in zip(y["mask"], y["packed"], strict=True):  # every subset has a row there, even over an empty table
+            size, mechanism, sigma = pickle.loads(packed)
+            dense = np.bincount(x["idx"].to_numpy(np.int64), x["n"].to_numpy(), size)
+            rng = None
+            if noise:
+                rng = np.random.default_rng() if seed is None else np.random.Generator(np.random.Philox(key=[seed, int(m)]))
+            out.append(pd.DataFrame({"mask": m, "idx": np.arange(size), "x": mechanism.reconstruct(mechanism.measure(dense, sigma, rng))}))
+        return pd.concat(out)
+
+    recon = found.groupBy("mask").cogroup(sent.groupBy("mask")).applyInPandas(run, "mask bigint, idx bigint, x double")
+    return Release(plan, write_once(recon, "release", path) if noise else recon, noise)
 
 
 def coefficients(spark, queries: list[Query]) -> Iterator[DataFrame]:

@@ -7,7 +7,7 @@ and the variance of a part's rows.  All are numpy on arrays of the marginal's si
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 
@@ -39,25 +39,54 @@ class Scalar:
 
 
 class Fourier:
-    """Independent noise on the frequencies that have no zero coordinate, one of each conjugate pair; the optimum in closed form."""
+    """Independent noise on the frequencies that have no zero coordinate, one of each conjugate pair; the optimum in closed form.
+
+    The loss of a single Kronecker part is a product over its attributes; the grid of frequencies is made when it is asked for.
+    """
 
     kind = "fourier"
 
     def __init__(self, shape: tuple[int, ...], parts: list[Part]):
-        self.shape = shape
-        grid = np.indices(shape).reshape(len(shape), -1)
-        conj = (-grid) % np.array(shape)[:, None]
-        flat, other = np.ravel_multi_index(grid, shape), np.ravel_multi_index(conj, shape)
+        self.shape, self.parts = shape, parts
+        if len(parts) == 1 and isinstance(parts[0], KronPart):
+            own = [f for f, k in zip(parts[0].factors, parts[0].inside, strict=True) if k]
+            roots = [np.abs(np.fft.ifft(f, axis=1)[:, 1:]) ** 2 for f in own]
+            self.loss = float(parts[0].weight * parts[0].scale * np.prod([np.sqrt(e.sum(axis=0)).sum() for e in roots]) ** 2)
+        else:
+            self.loss = float(np.sqrt(self.c).sum() ** 2)
+
+    @cached_property
+    def _tuned(self) -> tuple[np.ndarray, np.ndarray]:
+        grid = np.indices(self.shape).reshape(len(self.shape), -1)
+        conj = (-grid) % np.array(self.shape)[:, None]
+        flat, other = np.ravel_multi_index(grid, self.shape), np.ravel_multi_index(conj, self.shape)
         tuned = np.all(grid > 0, axis=0) & (flat <= other)
-        self.at, self.conj = flat[tuned], other[tuned]
-        self.mult = np.where(self.at == self.conj, 1.0, 4.0)
+        return flat[tuned], other[tuned]
+
+    @property
+    def at(self) -> np.ndarray:
+        return self._tuned[0]
+
+    @property
+    def conj(self) -> np.ndarray:
+        return self._tuned[1]
+
+    @cached_property
+    def mult(self) -> np.ndarray:
+        return np.where(self.at == self.conj, 1.0, 4.0)
+
+    @cached_property
+    def c(self) -> np.ndarray:
         c = np.zeros(len(self.at))
-        for p in parts:
+        for p in self.parts:
             c += p.weight * self.mult * np.asarray(p.energy()).reshape(-1)[self.at]
-        root = np.sqrt(c)
-        self.c, self.loss = c, float(root.sum() ** 2)
+        return c
+
+    @cached_property
+    def theta(self) -> np.ndarray:
+        root = np.sqrt(self.c)
         floor = np.maximum(root, max(root.max(initial=0.0) * 1e-5, 1e-5))
-        self.theta = floor.sum() / floor  # the costs 1 / theta add up to 1
+        return floor.sum() / floor  # the costs 1 / theta add up to 1
 
     def measure(self, x: np.ndarray, sigma: float, rng: np.random.Generator | None) -> np.ndarray:
         z = np.fft.fftn(x.reshape(self.shape)).reshape(-1)[self.at]
@@ -76,6 +105,13 @@ class Fourier:
         return np.fft.ifftn(z.reshape(self.shape)).real.reshape(-1)
 
     def variances(self, part: Part) -> np.ndarray:
+        if isinstance(part, KronPart):  # attribute by attribute; no array of rows by cells
+            t = np.zeros(int(np.prod(self.shape)))
+            t[self.at] = self.mult * self.theta
+            t = t.reshape([f.shape[1] for f in part.factors])
+            for i, f in enumerate(part.factors):
+                t = mode(t, np.abs(np.fft.ifft(f, axis=1)) ** 2, i)
+            return t.reshape(-1)
         e = np.asarray(part.energy(per_row=True))
         e = e.reshape(e.shape[0], -1)[:, self.at]
         # a real frequency has noise theta once, a pair twice the energy of 2 theta
@@ -133,6 +169,15 @@ def certified(gram: np.ndarray | None, rows: np.ndarray | None, gap: float = GAP
     return best[0], float(best[1]), float(best[1] / before - 1)
 
 
+def positive(matrix: np.ndarray, slack: float = 1e-9) -> bool:
+    """Whether a symmetric matrix has no negative eigenvalue, but for a share of its trace."""
+    try:
+        np.linalg.cholesky(matrix + (slack * max(np.trace(matrix), 0.0) / len(matrix) + 1e-300) * np.eye(len(matrix)))
+        return True
+    except np.linalg.LinAlgError:
+        return False
+
+
 class Dense:
     """The certified optimum on the range of the workload's rows."""
 

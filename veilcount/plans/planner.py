@@ -8,17 +8,20 @@ from __future__ import annotations
 
 import hashlib
 import time
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 
 from veilcount.domain import Domain, submasks
+from veilcount.plans.budget import shares
 from veilcount.plans.mechanisms import Dense, Fourier, Kron, Part, Scalar
 from veilcount.plans.query import KronPart, Query
 from veilcount.plans.workload import Workload
 
-SOLVERS = ("best", "fourier", "convex", "kron")
+#: Own solvers by name, besides best, fourier, convex and kron: from the shape of a subset and its parts to a mechanism.
+SOLVERS: dict[str, Callable[[tuple[int, ...], list[Part]], object] | None] = dict.fromkeys(("best", "fourier", "convex", "kron"))
 #: Loss below which a subset carries nothing of the workload.
 NOTHING = 1e-9
 DENSE_LIMIT = 2000
@@ -51,19 +54,33 @@ class Plan:
     def spent(self) -> float:
         return float(sum(1 / s for s in self.sigma2.values()))
 
-    def variances(self, query: Query) -> np.ndarray:
-        """Variance of each row's answer; raises if a part of the query was not measured."""
-        out = np.zeros(query.n_rows)
+    def measured_parts(self, query: Query) -> list[tuple[int, Part]]:
+        """(mask, part) of a query, but for empty parts; raises if one was not measured."""
+        out = []
         for m in submasks(query.mask):
             part = query.part(m)
-            if np.allclose(part.energy(), 0, atol=1e-18):
+            if part.square() <= 1e-18:
                 continue
             if m not in self.sigma2 or not self.mechanisms[m].answerable(part):
                 raise KeyError(f"the part on attributes {self.domain.attrs(m)} was not measured")
+            out.append((m, part))
+        return out
+
+    def variances(self, query: Query) -> np.ndarray:
+        """Variance of each row's answer; raises if a part of the query was not measured."""
+        out = np.zeros(query.n_rows)
+        for m, part in self.measured_parts(query):
             out += self.sigma2[m] * self.mechanisms[m].variances(part)
         return out
 
 
+def register(name: str, make: Callable[[tuple[int, ...], list[Part]], object]) -> None:
+    """A solver for ``plan`` by name. Its mechanisms have loss (at cost 1), measure, reconstruct, variances and answerable."""
+    if name in SOLVERS and SOLVERS[name] is None:
+        raise ValueError(f"the name {name!r} is taken")
+    SOLVERS[name] = make
+
+
 def decompose(workload: Workload) -> dict[int, list[tuple[int, Part]]]:
     out: dict[int, list[tuple[int, Part]]] = {}
     for i, q in enumerate(workload.queries):
@@ -86,10 +103,27 @@ def _key(parts: list[Part]) -> bytes:
     return h.digest()
 
 
+def merged(parts: list[Part]) -> list[Part]:
+    """Kronecker parts that differ in weight and collapsed attributes only, as one."""
+    out: dict[bytes, Part] = {}
+    for i, p in enumerate(parts):
+        if isinstance(p, KronPart):
+            own = [f for f, k in zip(p.factors, p.inside, strict=True) if k]
+            key = b"".join(np.round(g, 12).tobytes() for g in p.grams())
+            before = out[key].weight if key in out else 0.0
+            out[key] = KronPart(own, [True] * len(own), p.shape, before + p.weight * p.scale)
+        else:
+            out[repr(i).encode()] = p
+    return list(out.values())
+
+
 def choose(mask: int, parts: list[Part], solver: str, factors: dict, dense_limit: int, full_rank: bool, notes: list[str]):
     if not mask:
         return Scalar(parts)
     shape = parts[0].shape
+    if SOLVERS.get(solver) is not None:
+        return SOLVERS[solver](shape, parts)
+    parts = [p for p in merged(parts) if p.square() > 0] or parts[:1]
     fourier = Fourier(shape, parts)
     if solver == "fourier" or fourier.loss <= NOTHING:
         return fourier
@@ -115,7 +149,7 @@ def choose(mask: int, parts: list[Part], solver: str, factors: dict, dense_limit
     return min(found, key=lambda f: (f.loss * (1 if f is not fourier else 1 - 1e-12)))
 
 
-def plan(workload: Workload, cost: float = 1.0, solver: str = "best", hints: Mapping[int, str] | None = None, dense_limit: int = DENSE_LIMIT, full_rank: bool = False) -> Plan:
+def plan(workload: Workload, cost: float = 1.0, solver: str = "best", hints: Mapping[int, str] | None = None, dense_limit: int = DENSE_LIMIT, full_rank: bool = False, workers: int = 4) -> Plan:
     """hints: mask -> solver. full_rank: convex mechanisms also answer queries that are not in the workload, at a small price."""
     if not cost > 0:
         raise ValueError("the privacy cost must be positive")
@@ -126,18 +160,18 @@ def plan(workload: Workload, cost: float = 1.0, solver: str = "best", hints: Map
     parts = decompose(workload)
     t1 = time.perf_counter()
     notes, memo, factors = list(workload.notes), {}, {}
-    mechanisms = {}
+    keys: dict[int, tuple] = {}
     for m, p in parts.items():
-        own = [x for _, x in p]
         s = (hints or {}).get(m, solver)
-        key = (s, _key(own), m == 0)
-        if key not in memo:
-            memo[key] = choose(m, own, s, factors, dense_limit, full_rank, notes)
-        mechanisms[m] = memo[key]
+        keys[m] = s, _key(merged([x for _, x in p]) if m else [x for _, x in p]), m == 0
+        memo.setdefault(keys[m], m)
+    with ThreadPoolExecutor(workers) as pool:  # distinct subsets side by side
+        made = pool.map(lambda x: choose(x[1], [y for _, y in parts[x[1]]], x[0][0], factors, dense_limit, full_rank, notes), memo.items())
+        memo = dict(zip(memo, list(made), strict=True))
+    mechanisms = {m: memo[k] for m, k in keys.items()}
     t2 = time.perf_counter()
-    roots = {m: np.sqrt(x.loss) for m, x in mechanisms.items() if x.loss > NOTHING}
-    gamma = sum(roots.values()) / cost
-    sigma2 = {m: float(gamma / r) for m, r in roots.items()}
+    live = [m for m, x in mechanisms.items() if x.loss > NOTHING]
+    sigma2 = dict(zip(live, shares(np.array([mechanisms[m].loss for m in live]), 1.0, cost).tolist(), strict=True))
     return Plan(workload.domain, workload, cost, parts, mechanisms, sigma2, notes, {"decompose": t1 - t0, "solve": t2 - t1, "assemble": time.perf_counter() - t2})
 
 

@@ -77,6 +77,10 @@ class MatrixPart:
     def dense(self) -> np.ndarray:
         return self.rows
 
+    def square(self) -> float:
+        """Sum of the squares of all coefficients."""
+        return float(np.sum(self.rows**2))
+
 
 class KronPart:
     """One matrix (rows_i, d_i) per attribute of the mask and a column (rows_i, 1) per collapsed one, in the query's order."""
@@ -112,6 +116,9 @@ class KronPart:
     def dense(self) -> np.ndarray:
         return reduce(np.kron, self.factors, np.ones((1, 1)))
 
+    def square(self) -> float:
+        return float(np.prod([np.sum(f**2) for f in self.factors]))
+
 
 class MatrixQuery(Query):
     def __init__(self, domain: Domain, attributes: Sequence[int], matrix: np.ndarray, weight: float = 1.0, name: str = ""):

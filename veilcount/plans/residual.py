@@ -14,6 +14,7 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,10 @@ from veilcount.domain import Domain, submasks
 from veilcount.operators.cells import cells as to_cells
 from veilcount.operators.cells import marginals
 from veilcount.plans import workload as families
+from veilcount.plans.budget import level, shares
 from veilcount.plans.mechanisms import certified
 from veilcount.plans.query import centre, mode
+from veilcount.sources.tables import write_once
 
 BASES = {"I": families.identity, "P": families.prefix, "R": families.ranges, "H": lambda d: np.vstack([families.haar(d), np.ones(d)])}
 
@@ -35,8 +38,21 @@ class Strategy:
     residual: np.ndarray
     noise: np.ndarray
     cost: float  # largest diagonal entry of R' (G G')^-1 R
-    variance: float  # sum over the queries of the residual's variance
-    total: float  # the same of the total's share
+    variances: np.ndarray  # of each query's residual
+    shares: np.ndarray  # and of its share of the total
+
+    @property
+    def variance(self) -> float:
+        return float(self.variances.sum())
+
+    @property
+    def total(self) -> float:
+        return float(self.shares.sum())
+
+    @property
+    def kinds(self) -> np.ndarray:
+        """Distinct (share, variance) of the queries."""
+        return np.unique(np.round(np.stack([self.shares, self.variances], axis=1), 12), axis=0)
 
     @property
     def back(self) -> np.ndarray:
@@ -48,7 +64,7 @@ def strategy(d: int, basis: str | np.ndarray = "I", objective: str = "sum") -> S
     work = BASES[basis](d) if isinstance(basis, str) else np.asarray(basis, float)
     share = work.mean(axis=1)
     if d == 1:
-        return Strategy(work, np.zeros((0, 1)), np.zeros((0, 0)), 0.0, 0.0, float(np.sum(share**2)))
+        return Strategy(work, np.zeros((0, 1)), np.zeros((0, 0)), 0.0, np.zeros(len(work)), share**2)
     centred = centre(work, 1)
     weights = np.ones(len(work))
     for _ in range(1 if objective == "sum" else 200):
@@ -59,43 +75,23 @@ def strategy(d: int, basis: str | np.ndarray = "I", objective: str = "sum") -> S
             break
         weights = np.maximum(weights * v / v.max(), 1e-12)
         weights /= weights.max()
-    return Strategy(work, b, np.eye(len(b)), float(np.max(np.sum(b**2, axis=0))), float(v.sum()), float(np.sum(share**2)))
-
-
-def allocate(v: np.ndarray, p: np.ndarray, cost: float) -> np.ndarray:
-    """sigma^2 of least sum(v sigma^2) with sum(p / sigma^2) = cost (Cauchy-Schwarz)."""
-    t = np.sum(np.sqrt(v * p)) ** 2 / cost
-    return np.sqrt(t * p / (cost * np.maximum(v, 1e-300)))
-
+    return Strategy(work, b, np.eye(len(b)), float(np.max(np.sum(b**2, axis=0))), v, share**2)
 
-def allocate_max(a: np.ndarray, bound: np.ndarray, p: np.ndarray, cost: float, rounds: int = 3000, gap: float = 1e-4) -> np.ndarray:
-    """sigma^2 of least max over rows of (a sigma^2) / bound with sum(p / sigma^2) = cost.
 
-    Multiplicative weights on the rows: for weights y the best answer is that of ``allocate``, and its value bounds the optimum from below.
-    """
+def allocate_max(a: np.ndarray, bound: np.ndarray, p: np.ndarray, cost: float, **options) -> np.ndarray:
+    """sigma^2 of least max over rows of (a sigma^2) / bound with sum(p / sigma^2) = cost."""
     rows = np.unique(np.round(a / bound[:, None], 12), axis=0)
-    y = np.full(len(rows), 1.0 / len(rows))
-    best, least, low = None, np.inf, 0.0
-    for _ in range(rounds):
-        s = allocate(y @ rows, p, cost)
-        value = rows @ s
-        low = max(low, float(y @ value))
-        if value.max() < least:
-            best, least = s, float(value.max())
-        if least <= low * (1 + gap):
-            break
-        y = y * (value / value.max()) ** 0.5
-        y /= y.sum()
-    return best
+    return level([(np.arange(a.shape[1]), rows)], p, cost, **options)[0]
 
 
 class ResidualPlan:
     """Strategies per attribute (by position, so equal sizes may differ), subsets of marginals, and noise levels."""
 
-    def __init__(self, domain: Domain, bases: list[str | np.ndarray], marginals_: list[tuple[int, ...]], cost: float = 1.0, objective: str = "sum"):
+    def __init__(self, domain: Domain, bases: list[str | np.ndarray], marginals_: list[tuple[int, ...]], cost: float = 1.0, objective: str = "sum", gap: float = 1e-4):
+        """objective: sum or max of the queries' variances, or for tests random (any levels) and zero (no noise)."""
         if not cost > 0:
             raise ValueError("the privacy cost must be positive")
-        if objective not in ("sum", "max"):
+        if objective not in ("sum", "max", "random", "zero"):
             raise ValueError(f"unknown objective {objective!r}")
         self.domain, self.cost, self.objective = domain, cost, objective
         memo: dict = {}
@@ -103,27 +99,35 @@ class ResidualPlan:
         for d, b in zip(domain.sizes, bases, strict=True):
             key = (d, b) if isinstance(b, str) else (d, b.tobytes())
             if key not in memo:
-                memo[key] = strategy(d, b, objective)
+                memo[key] = strategy(d, b, "max" if objective == "max" else "sum")
             self.strategies.append(memo[key])
         self.subsets = [domain.mask(m) for m in marginals_]
         self.masks = sorted({s for m in self.subsets for s in submasks(m)}, key=lambda m: (m.bit_count(), m))
         self.p = np.array([np.prod([self.strategies[i].cost for i in domain.attrs(m)]) for m in self.masks])
         at = {m: k for k, m in enumerate(self.masks)}
         self.v = np.zeros(len(self.masks))
-        rows = []
+        blocks = []
         for big in self.subsets:
-            row = np.zeros(len(self.masks))
-            for s in submasks(big):
-                row[at[s]] = np.prod([self.strategies[i].variance if s >> i & 1 else self.strategies[i].total for i in domain.attrs(big)])
-            self.v += row
-            rows.append(row / np.prod([len(self.strategies[i].work) for i in domain.attrs(big)]))
+            own, subs = [self.strategies[i] for i in domain.attrs(big)], submasks(big)
+            for s in subs:
+                self.v[at[s]] += np.prod([x.variance if s >> i & 1 else x.total for i, x in zip(domain.attrs(big), own, strict=True)])
+            if objective == "max":  # one row for each kind of query of the marginal, a product over its attributes
+                kinds = [[x.kinds[:, s >> i & 1] for i, x in zip(domain.attrs(big), own, strict=True)] for s in subs]
+                rows = np.stack([reduce(np.multiply.outer, k, np.ones(())).reshape(-1) for k in kinds], axis=1)
+                blocks.append((np.array([at[s] for s in subs]), np.unique(np.round(rows, 12), axis=0)))
         live = self.v * self.p > 0
         self.sigma2 = np.zeros(len(self.masks))
+        #: The largest variance of a query, and a bound from below for it under this privacy cost.
+        self.largest, self.bound = np.nan, np.nan
         if objective == "sum":
-            self.sigma2[live] = allocate(self.v[live], self.p[live], cost)
-        else:
-            a = np.array(rows)[:, live]
-            self.sigma2[live] = allocate_max(a, np.ones(len(a)), self.p[live], cost)
+            self.sigma2[live] = shares(self.v[live], self.p[live], cost)
+        elif objective == "max":
+            place = np.cumsum(live) - 1
+            kept = [(place[x[live[x]]], r[:, live[x]]) for x, r in blocks]
+            self.sigma2[live], self.largest, self.bound = level(kept, self.p[live], cost, gap=gap)
+        elif objective == "random":  # for tests: any noise levels of this cost
+            draw = np.random.default_rng(len(self.masks)).uniform(0.5, 1.5, int(live.sum()))
+            self.sigma2[live] = draw * np.sum(self.p[live] / draw) / cost
 
     @property
     def n_rows(self) -> int:
@@ -153,44 +157,64 @@ class ResidualPlan:
             out = out + self.sigma2[self.masks.index(s)] * reduce(np.kron, f, np.ones((1, 1)))
         return out
 
-    def measure(self, rows: DataFrame, noise: bool = True, seed: int | None = None) -> dict[int, np.ndarray]:
-        """Reconstructed marginals by subset. One pass of grouping sets; marginals are dense and small by their domain."""
-        found = marginals(to_cells(rows, self.domain), self.domain, self.masks).toPandas()
-        omega = {}
-        for m, s2 in zip(self.masks, self.sigma2, strict=True):
-            part = found[found["mask"] == m]
-            x = np.bincount(part["idx"].to_numpy(np.int64), part["n"].to_numpy(float), self.domain.size(m)).reshape(self.domain.shape(m))
-            for k, i in enumerate(self.domain.attrs(m)):
-                x = mode(x, self.strategies[i].residual, k)
+    def row_variances(self, big: int) -> np.ndarray:
+        """Variance of each query of a marginal."""
+        out = 0.0
+        for s in submasks(big):
+            own = [self.strategies[i].variances if s >> i & 1 else self.strategies[i].shares for i in self.domain.attrs(big)]
+            out = out + self.sigma2[self.masks.index(s)] * reduce(np.multiply.outer, own, np.ones(())).reshape(-1)
+        return out
+
+    def measure(self, rows: DataFrame, noise: bool = True, seed: int | None = None) -> DataFrame:
+        """(mask, idx, x): reconstructed marginals.
+
+        One pass of grouping sets; each subset is measured in a task of its own, written where it is noisy, and each
+        marginal reconstructed in one from the subsets below it. Sizes are those of the declared domain.
+        """
+        spark, domain, attributes = rows.sparkSession, self.domain, self.strategies
+        levels = dict(zip(self.masks, np.sqrt(self.sigma2).tolist(), strict=True))
+        found = marginals(to_cells(rows, domain), domain, self.masks).select("mask", "idx", F.col("n").cast("double").alias("x"))
+        empty = spark.createDataFrame([(m, 0, 0.0) for m in self.masks], "mask bigint, idx bigint, x double")  # every subset, even over an empty table
+
+        def residual(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            m = int(key[0])
+            x = np.bincount(part["idx"].to_numpy(np.int64), part["x"].to_numpy(), domain.size(m)).reshape(domain.shape(m))
+            own = [attributes[i] for i in domain.attrs(m)]
+            for k, a in enumerate(own):
+                x = mode(x, a.residual, k)
             if noise:
                 rng = np.random.default_rng() if seed is None else np.random.Generator(np.random.Philox(key=[seed, m]))
                 z = rng.standard_normal(x.shape)
-                for k, i in enumerate(self.domain.attrs(m)):
-                    z = mode(z, self.strategies[i].noise, k)
-                x = x + np.sqrt(s2) * z
-            omega[m] = x
-        return {big: self.reconstruct(big, omega) for big in self.subsets}
-
-    def reconstruct(self, big: int, omega: dict[int, np.ndarray]) -> np.ndarray:
-        out = np.zeros(self.domain.shape(big))
-        for s in submasks(big):
-            x = omega[s].reshape([omega[s].shape[self.domain.attrs(s).index(i)] if s >> i & 1 else 1 for i in self.domain.attrs(big)])
-            for k, i in enumerate(self.domain.attrs(big)):
-                x = mode(x, self.strategies[i].back if s >> i & 1 else np.full((self.domain.sizes[i], 1), 1 / self.domain.sizes[i]), k)
-            out += x
-        return out.reshape(-1)
-
-
-def mean_error(rows: DataFrame, plan: ResidualPlan, found: dict[int, np.ndarray], p: float = 1.0) -> float:
+                for k, a in enumerate(own):
+                    z = mode(z, a.noise, k)
+                x = x + levels[m] * z
+            return pd.DataFrame({"mask": m, "idx": np.arange(x.size), "x": x.reshape(-1)})
+
+        omega = found.union(empty).groupBy("mask").applyInPandas(residual, "mask bigint, idx bigint, x double")
+        omega = write_once(omega, "residuals") if noise else omega
+        below = spark.createDataFrame([(s, big) for big in self.subsets for s in submasks(big)], "mask bigint, big bigint")
+
+        def back(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            big = int(key[0])
+            own = domain.attrs(big)
+            out = np.zeros(domain.shape(big))
+            for s, x in part.groupby("mask"):
+                x = x.sort_values("idx")["x"].to_numpy().reshape([len(attributes[i].residual) if int(s) >> i & 1 else 1 for i in own])
+                for k, i in enumerate(own):
+                    x = mode(x, attributes[i].back if int(s) >> i & 1 else np.full((domain.sizes[i], 1), 1 / domain.sizes[i]), k)
+                out += x
+            return pd.DataFrame({"mask": big, "idx": np.arange(out.size), "x": out.reshape(-1)})
+
+        return omega.join(below, "mask").groupBy("big").applyInPandas(back, "mask bigint, idx bigint, x double")
+
+
+def mean_error(rows: DataFrame, plan: ResidualPlan, found: DataFrame, p: float = 1.0) -> float:
     """Mean over marginals of the L_p error divided by the number of rows."""
-    true = marginals(to_cells(rows, plan.domain), plan.domain, plan.subsets).toPandas()
-    n = rows.count()
-    errors = []
-    for m in plan.subsets:
-        part = true[true["mask"] == m]
-        x = np.bincount(part["idx"].to_numpy(np.int64), part["n"].to_numpy(float), plan.domain.size(m))
-        errors.append(np.sum(np.abs(x - found[m]) ** p) ** (1 / p) / max(n, 1))
-    return float(np.mean(errors))
+    true = marginals(to_cells(rows, plan.domain), plan.domain, plan.subsets)
+    both = found.join(true, ["mask", "idx"], "left")
+    off = F.abs(F.col("x") - F.coalesce("n", F.lit(0)))
+    errors = both.groupBy("mask").agg(F.pow(F.sum(F.pow(off, F.lit(p))), F.lit(1 / p)).alias("e"))
+    return float(errors.agg(F.avg("e")).first()[0] / max(rows.count(), 1))
 
 
 def uniform_rmse(d: int, attributes: int, k: int, basis: str = "I", cost: float = 1.0) -> float:

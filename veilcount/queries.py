@@ -8,12 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilcount.domain import CATALOG, Attribute, Domain, submasks
+from veilcount.domain import CATALOG, Attribute, Domain, catalog, submasks
 from veilcount.functions import encode as E
 from veilcount.functions.spectra import dft
 from veilcount.operators import cells as C
 from veilcount.operators import linear as L
 from veilcount.operators.release import coefficients, measure
+from veilcount.plans import grids
 from veilcount.plans import workload as W
 from veilcount.plans.planner import identity_rmse, plan
 from veilcount.plans.query import KronQuery, MatrixQuery
@@ -343,32 +344,45 @@ def noiseless_single_row_kron(spark, sf_dir):
     return out.select("query_id", "row_id", F.round("answer").cast("bigint").alias("answer"))
 
 
-def _identity_sql(name: str) -> str:
-    """Closed form: W of a subset sums 1 / (product of the other sizes) over the marginals that contain it."""
-    sizes = CATALOG[name][0]
-    rows = []
-    for k in (1, 2):
-        from itertools import combinations
+def _orders_sql(tables: list[tuple[str, tuple[int, ...], int]]) -> str:
+    """RMSE of closed-form mechanisms for all marginals of 1, 2, 3 and 1-3 attributes: the first attributes by prefixes, the others by identity.
 
-        for s in combinations(range(len(sizes)), k):
-            full = sum(1 << i for i in s)
-            for m in submasks(full):
-                other = math.prod(sizes[i] for i in s if not m >> i & 1)
-                own = "*".join(f"(1 - 1.0 / {sizes[i]}) * {sizes[i] - 1}" for i in s if m >> i & 1) or "1.0"
-                rows.append((k, m, math.prod(sizes[i] for i in s) if m == full else 0, f"1.0 / {other}", own))
-    return f"""WITH t(k, mask, n, w, own) AS (VALUES {_values(rows)}), l AS (SELECT k, mask, sum(n) AS n, sqrt(sum(w) * max(own)) AS r FROM t GROUP BY k, mask)
- SELECT CAST(k AS BIGINT) AS k, round(CAST(sum(r) / sqrt(sum(n)) AS DOUBLE), 5) AS rmse FROM l GROUP BY k"""
+    Of each attribute: r, the sum over frequencies of the root of the rows' energy, and t, the squares of the rows' shares of
+    the total.  A subset's root is the product of its r times the root of the sum, over the marginals above, of the others' t.
+    """
+    rows = _values([(f"'{name}'", i, d, int(i < numeric)) for name, sizes, numeric in tables for i, d in enumerate(sizes)])
+    bits = "(VALUES (0, 0, 0), (1, 0, 0), (0, 1, 0), (1, 1, 0), (0, 0, 1), (1, 0, 1), (0, 1, 1), (1, 1, 1)) b(x, y, z)"
+    term = lambda e, u: f"coalesce(CASE WHEN b.{u} = 1 THEN {e}.r ELSE sqrt({e}.t) END, 1)"
+    own = lambda e, u: f"coalesce(CASE WHEN b.{u} = 1 THEN {e}.r END, 1)"
+    mask = " + ".join(f"coalesce(b.{u} * (CAST(1 AS BIGINT) << {e}.i), 0)" for e, u in (("p", "x"), ("q", "y"), ("w", "z")))
+    fits = "(q.i IS NOT NULL OR b.y = 0) AND (w.i IS NOT NULL OR b.z = 0)"
+    return f"""WITH a(name, i, d, prefixes) AS (VALUES {rows}),
+ f AS (SELECT name, i, d, CASE WHEN prefixes = 1 THEN (SELECT sum(1 / (sqrt(2 * d) * sin(pi() * j / d))) FROM generate_series(1, d - 1) g(j)) ELSE (d - 1) / sqrt(d) END AS r,
+  CASE WHEN prefixes = 1 THEN (d + 1) * (2 * d + 1) / (6.0 * d) ELSE 1.0 / d END AS t FROM a),
+ s AS (SELECT p.name, 1 AS k, p.i AS i1, NULL AS i2, NULL AS i3, p.d AS n FROM f p
+  UNION ALL SELECT p.name, 2, p.i, q.i, NULL, p.d * q.d FROM f p JOIN f q ON p.name = q.name AND p.i < q.i
+  UNION ALL SELECT p.name, 3, p.i, q.i, w.i, p.d * q.d * w.d FROM f p JOIN f q ON p.name = q.name AND p.i < q.i JOIN f w ON w.name = q.name AND q.i < w.i),
+ m AS (SELECT s.name, s.k, {mask} AS mask, n, (b.x + b.y + b.z = s.k)::INT AS top, ({term("p", "x")} * {term("q", "y")} * {term("w", "z")}) ** 2 AS v
+  FROM s JOIN f p ON p.name = s.name AND p.i = s.i1 LEFT JOIN f q ON q.name = s.name AND q.i = s.i2 LEFT JOIN f w ON w.name = s.name AND w.i = s.i3 JOIN {bits} ON {fits}),
+ o AS (SELECT name, CAST(k AS VARCHAR) AS orders, mask, n * top AS n, v FROM m UNION ALL SELECT name, '1-3', mask, n * top, v FROM m),
+ l AS (SELECT name, orders, mask, sum(n) AS n, sqrt(sum(v)) AS root FROM o GROUP BY ALL)
+ SELECT name, orders, round(CAST(sum(root) / sqrt(sum(n)) AS DOUBLE), 4) AS rmse FROM l GROUP BY ALL"""
+
+
+ORDERS = {"1": range(1, 2), "2": range(2, 3), "3": range(3, 4), "1-3": range(1, 4)}
 
 
 def _identity(name: str):
     def f(spark, sf_dir):
-        return spark.createDataFrame([(k, round(identity_rmse(CATALOG[name][0], range(k, k + 1)), 5)) for k in (1, 2)], "k bigint, rmse double")
+        sizes = CATALOG[name][0]
+        return spark.createDataFrame([(name, o, round(identity_rmse(sizes, k), 4)) for o, k in ORDERS.items()], "name string, orders string, rmse double")
 
     f.__name__ = f"rmse_identity_{name}"
-    return query(_identity_sql(name))(f)
+    return query(_orders_sql([(name, CATALOG[name][0], 0)]))(f)
 
 
-for _name in ("adult", "cps", "loans"):
+LARGE = ("adult", "cps", "loans")
+for _name in LARGE:
     _identity(_name)
 
 
@@ -381,34 +395,72 @@ def rpp_sumvar_allocation(spark, sf_dir):
     return spark.createDataFrame([(m, round(float(s) / scale.get(m, 1.0), 5)) for m, _, _, s in p.allocation()], "mask bigint, sigma2 double")
 
 
+#: Closed form for 1-way identity marginals: with noise level s on the total and largest variance t, an attribute of d values
+#: takes (1 - 1/d)^2 / (t - s / d^2) of the budget; t by halving for each s of a grid.
+@query("""WITH RECURSIVE a(d) AS (VALUES (2.0), (5.0), (9.0)),
+ g AS (SELECT 1 + range / 2000.0 AS s FROM range(1, 8000)),
+ h AS (SELECT s, s / 4 AS lo, s / 4 + 100.0 AS hi, 0 AS step FROM g
+  UNION ALL SELECT s, CASE WHEN used > 1 THEN mid ELSE lo END, CASE WHEN used > 1 THEN hi ELSE mid END, step + 1 FROM
+   (SELECT s, lo, hi, step, (lo + hi) / 2 AS mid, 1 / s + sum((1 - 1 / d) ** 2 / greatest((lo + hi) / 2 - s / d ** 2, 1e-12)) AS used FROM h, a WHERE step < 40 GROUP BY s, lo, hi, step))
+ SELECT round(CAST(min(hi) AS DOUBLE), 3) AS largest_variance FROM h WHERE step = 40""")
+def rpp_maxvar_identity(spark, sf_dir):
+    p = ResidualPlan(Domain([2, 5, 9]), ["I"] * 3, [(0,), (1,), (2,)], objective="max", gap=1e-6)
+    return spark.createDataFrame([(round(max(float(p.row_variances(m).max()) for m in p.subsets), 3),)], "largest_variance double")
+
+
 @query()
 def rpp_maxvar_allocation(spark, sf_dir):
-    p = ResidualPlan(Domain(CATALOG["simple_adult"][0]), ["I"] * 3, [(0, 1), (1, 2), (0, 2)], objective="max")
-    return spark.createDataFrame([(m, round(s, 4)) for m, _, _, s in p.allocation()], "mask bigint, sigma2 double")
+    """Prefixes and ranges, where a marginal's queries differ in variance; held against a certificate in the tests."""
+    p = ResidualPlan(Domain(CATALOG["simple_adult"][0]), ["I", "P", "R"], [(0, 1), (1, 2), (0, 2)], objective="max")
+    return spark.createDataFrame([(m, round(s, 3)) for m, _, _, s in p.allocation()], "mask bigint, sigma2 double")
 
 
-@query()
+@query(f"""WITH {CODES} SELECT CAST(3 AS BIGINT) AS mask, a.range * 3 + b.range AS idx, count(l.disc) AS n FROM range(11) a CROSS JOIN range(3) b LEFT JOIN l ON l.disc = a.range AND l.flag = b.range GROUP BY ALL
+ UNION ALL SELECT CAST(4 AS BIGINT), range, count(l.disc) FROM range(2) LEFT JOIN l ON l.status = range GROUP BY range""")
 def rpp_marginals(spark, sf_dir):
     """Residual planner over lineitem without noise: the marginals come back exactly."""
     p = ResidualPlan(THREE, ["P", "I", "R"], [(0, 1), (2,)])
-    found = p.measure(table(spark, sf_dir, "lineitem"), noise=False)
-    return spark.createDataFrame([(m, i, round(float(v))) for m, x in found.items() for i, v in enumerate(x)], "mask bigint, idx bigint, n bigint")
+    return p.measure(table(spark, sf_dir, "lineitem"), noise=False).select("mask", "idx", F.round("x").cast("bigint").alias("n"))
 
 
-@query()
+def _prefix_rmse(name: str, orders: range, solver: str) -> float:
+    d, numeric = catalog(name)
+    return plan(W.mixed_workload(d, max(orders), numeric, min(orders)), solver=solver).rmse
+
+
+@query(_orders_sql([(name, *CATALOG[name]) for name in LARGE]))
 def rmse_prefix_catalog(spark, sf_dir):
-    rows = []
-    for name in CATALOG:
-        sizes, numeric = CATALOG[name]
-        d = Domain(sizes)
-        for solver in ("fourier", "best"):
-            rows.append((name, solver, round(plan(W.mixed_workload(d, 1, numeric), solver=solver).rmse, 4)))
-    return spark.createDataFrame(rows, "name string, solver string, rmse double")
+    """Closed-form mechanisms, prefixes on the numeric attributes."""
+    rows = [(name, o, round(_prefix_rmse(name, k, "fourier"), 4)) for name in LARGE for o, k in ORDERS.items()]
+    return spark.createDataFrame(rows, "name string, orders string, rmse double")
 
 
 @query()
+def rmse_prefix_best(spark, sf_dir):
+    """The same by the best mechanisms; their losses are held against certificates in the tests."""
+    rows = [(name, o, round(_prefix_rmse(name, k, "best"), 3)) for name in LARGE for o, k in ORDERS.items()]
+    return spark.createDataFrame(rows, "name string, orders string, rmse double")
+
+
+@query("""WITH t AS (SELECT n, (10 + 10 * range) AS m FROM (SELECT 40 AS n), range(5)),
+ c AS (SELECT m, 40.0 / m + 780.0 / m ** 2 AS l0, (1 + 39.0 / m) * (m - 1) ** 2 / m AS l1, CAST((m - 1) AS DOUBLE) ** 4 / m ** 2 AS l2, 40 * m + 780 * m ** 2 AS rows FROM t)
+ SELECT CAST(m AS BIGINT) AS n, round(CAST((sqrt(l0) + 40 * sqrt(l1) + 780 * sqrt(l2)) / sqrt(rows) AS DOUBLE), 4) AS rmse, round(CAST((sqrt(l0) + 40 * sqrt(l1) + 780 * sqrt(l2)) / sqrt(rows) AS DOUBLE), 2) AS rmse_residual FROM c""")
 def rmse_uniform_grid(spark, sf_dir):
-    return spark.createDataFrame([(n, round(identity_rmse((n,) * 40, range(1, 3)), 4), round(uniform_rmse(n, 40, 2), 4)) for n in (10, 20, 30, 40, 50)], "n bigint, rmse double, rmse_residual double")
+    return spark.createDataFrame([(n, round(identity_rmse((n,) * 40, range(1, 3)), 4), round(uniform_rmse(n, 40, 2), 2)) for n in (10, 20, 30, 40, 50)], "n bigint, rmse double, rmse_residual double")
+
+
+@query()
+def rmse_two_way_families(spark, sf_dir):
+    """All 1- and 2-way marginals of 40 attributes of 10 values, by family."""
+    rows = [(f, solver, round(grids.two_way(f, 10, 40, solver), 3)) for f in grids.FAMILIES for solver in ("fourier", "best")]
+    return spark.createDataFrame(rows, "family string, solver string, rmse double")
+
+
+@query()
+def rmse_thresholds_catalog(spark, sf_dir):
+    """Affine and absolute-difference thresholds on pairs of numeric attributes, where their residual is small enough."""
+    rows = [(name, pair, round(rmse, 3), notes) for name, pair, rmse, notes in grids.thresholds(("cps", "age_income"))]
+    return spark.createDataFrame(rows, "name string, family string, rmse double, replaced bigint")
 
 
 @query("SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")

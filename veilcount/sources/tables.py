@@ -52,15 +52,32 @@ def zeros(spark: SparkSession, domain: Domain, rows: int = 10_000) -> DataFrame:
     return spark.range(rows).select(*(F.lit(0).alias(n) for n in domain.names))
 
 
-def write_once(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder of ``spark.checkpoint.dir`` and reread, so that it is computed once.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where driver and executors are one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.gettempdir()
+
+
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def write_once(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """df written to the shared folder, or to path unless it is there already, and reread, so that it is computed once.
 
     A noisy column that Spark computed twice would spend the privacy budget twice.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/veilcount-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = path or f"{shared_folder(spark).rstrip('/')}/veilcount-{name}-{uuid.uuid4().hex}"
+    if not written(spark, path):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

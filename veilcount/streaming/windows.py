@@ -24,16 +24,23 @@ def encode_with(rows: DataFrame, domain: Domain, *more) -> DataFrame:
     return rows.select(*more, *(a.encoder.code(a.size).alias(a.name) if a.encoder else F.col(a.name).cast("int").alias(a.name) for a in domain.attributes))
 
 
-def release_windows(stream: DataFrame, plan: Plan, time: str, window: str, late: str, sink: Callable[[object, DataFrame], None], noise: bool = True, seed: int | None = None):
-    """Starts a query that gives sink(window start, answers) once per closed window; each spends plan.cost. Returns the streaming query."""
+def release_windows(stream: DataFrame, plan: Plan, time: str, window: str, late: str, sink: Callable[[object, DataFrame], None], folder: str | None = None, noise: bool = True, seed: int | None = None):
+    """Starts a query that gives sink(window start, answers) for closed windows; each spends plan.cost once.
+
+    A batch may run again after a failure, and so may the sink.  A noisy release is therefore kept in folder under its
+    window's start, and a window that has one is never measured again: the sink gets the same numbers.
+    """
+    if noise and folder is None:
+        raise ValueError("noisy releases need a folder that outlives the query")
 
     def batch(closed: DataFrame, _: int) -> None:
         closed = closed.persist()
         try:
             for r in closed.select("start").distinct().collect():  # windows closed by one batch
                 own = closed.where(F.col("start") == F.lit(r["start"])).drop("start")
-                s = None if seed is None else seed + int(r["start"].timestamp())
-                sink(r["start"], measure(own, plan, noise, s, counted=True).answers())
+                at = int(r["start"].timestamp())
+                path = f"{folder.rstrip('/')}/{at}" if noise else None
+                sink(r["start"], measure(own, plan, noise, None if seed is None else seed + at, counted=True, path=path).answers())
         finally:
             closed.unpersist()
 
