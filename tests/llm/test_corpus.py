@@ -107,6 +107,17 @@ def test_packing_cases(edge, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_chunks_encoded_together_have_the_ids_they_have_alone():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    words = ["a", "it's", "12", "é", "Σ", "<|start", "of|>", "!?", "<", "x" * 300, "ǅ", "ﬁ", "e\u0301", "\u0301", "\x00", "\u200b", "\ufeff", "日本", "🙂"] + prose(1, 500).split()
+    alone = [t.encode(w, add_special_tokens=False).ids for w in words]
+    for given, want in ((words, alone), (words + ["b<|endoftext|>c"], [*alone, t.encode("b<|endoftext|>c", add_special_tokens=False).ids])):
+        lengths, ids = packing._encoded(t, given)
+        assert lengths.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
 def test_bins_are_best_fit():
     rng = np.random.default_rng(1)
     b, free = packing.Bins(100, 8), {}

@@ -20,6 +20,12 @@ def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(shift, length)
 
 
+def joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, all ids one after another)."""
+    lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+    return lengths, np.fromiter((i for x in lists for i in x), np.int32, int(lengths.sum()))
+
+
 class _Ids:
     """Ids of numbered chunks under one vocabulary."""
 
@@ -29,17 +35,15 @@ class _Ids:
         self.flat = np.zeros(4096, np.int32)
         self.used = 0
 
-    def add(self, at: int, found: list[list[int]]) -> None:
-        while at + len(found) > len(self.start):
+    def add(self, at: int, lengths: np.ndarray, found: np.ndarray) -> None:
+        while at + len(lengths) > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(lengths.sum())
-        while self.used + total > len(self.flat):
+        while self.used + len(found) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.start[at : at + len(found)] = self.used + np.cumsum(lengths) - lengths
-        self.length[at : at + len(found)] = lengths
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.int32, total)
-        self.used += total
+        self.start[at : at + len(lengths)] = self.used + np.cumsum(lengths) - lengths
+        self.length[at : at + len(lengths)] = lengths
+        self.flat[self.used : self.used + len(found)] = found
+        self.used += len(found)
 
     def of(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = self.length[slots]
@@ -49,10 +53,10 @@ class _Ids:
 class ChunkIds:
     """Ids of chunks, kept by the chunk's hash; forgets all of them beyond ``most`` chunks.
 
-    encoders: one for each vocabulary, that gives the ids of each of a list of strings.
+    encoders: one for each vocabulary, that gives the number of ids of each of a list of strings, and all of them.
     """
 
-    def __init__(self, *encoders: Callable[[list[str]], list[list[int]]], most: int = 400_000):
+    def __init__(self, *encoders: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
         self.encoders, self.most = encoders, most
         self.clear()
 
@@ -63,7 +67,7 @@ class ChunkIds:
     def _add(self, keys: list[int], texts: list[tuple[str, ...]]) -> None:
         at = len(self.slot)
         for ids, encode, given in zip(self.ids, self.encoders, zip(*texts, strict=True), strict=True):
-            ids.add(at, encode(list(given)))
+            ids.add(at, *encode(list(given)))
         self.slot.update(zip(keys, range(at, at + len(keys)), strict=True))
 
     def lookup(self, h: np.ndarray, text: Callable[[int], tuple[str, ...]]) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilcount.llm import _text
-from veilcount.llm._chunks import ChunkIds
+from veilcount.llm._chunks import ChunkIds, joined
 from veilcount.llm._scratch import Scratch
 
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
@@ -88,7 +88,7 @@ def _vocabularies(paths: tuple[str, str]) -> tuple[ChunkIds, list[np.ndarray]]:
                 token.decode()
             except UnicodeDecodeError:
                 bytes_of[1][i] = True
-        cache = ChunkIds(lambda texts: [x[skip:] for x in p.encode(["\n" + x for x in texts], num_threads=1)], lambda texts: [t.encode_ordinary(x) for x in texts], most=300_000)
+        cache = ChunkIds(lambda texts: joined([x[skip:] for x in p.encode(["\n" + x for x in texts], num_threads=1)]), lambda texts: joined([t.encode_ordinary(x) for x in texts]), most=300_000)
         _caches[paths] = cache, bytes_of
     return _caches[paths]
 
