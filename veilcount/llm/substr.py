@@ -9,7 +9,7 @@ window of ``least`` words holds, the one of smallest hash.  Equal windows choose
 equal anchors, so documents that share a repeat meet on a shared anchor.  An
 anchor that stands in one document only ends there.  From each shared anchor the
 match is extended both ways, as far as the windows that chose this anchor reach;
-windows of 128-bit fingerprints are joined to the smallest document that has
+windows of 96-bit fingerprints are joined to the smallest document that has
 them, and adjoining matched windows grow into maximal repeats.
 
 Scale.  Anchors are about 2 / (least - k + 2) of the positions and only two longs
@@ -84,8 +84,11 @@ def _windows(least: int, k: int):
                     lo, hi = w.first[d - i], max(w.first[d - i], w.first[d - i + 1] - least + 1)
                     pick = lo + np.flatnonzero(np.isin(_text.signed(a[lo:hi]), shared[at[d] : at[d + 1]]))
                     if len(pick):
-                        pairs = np.unique(np.stack([one[pick], two[pick]]).view(np.int64), axis=1)
-                        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.full(pairs.shape[1], ids[d]))], ["w1", "w2", "doc"])
+                        order = pick[np.lexsort((two[pick], one[pick]))]
+                        w1, w2 = one[order], two[order] >> _text.U(32)
+                        new = np.ones(len(w1), bool)
+                        new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
+                        yield pa.RecordBatch.from_arrays([pa.array(_text.signed(w1[new])), pa.array(w2[new].astype(np.uint32).view(np.int32)), pa.array(np.full(int(new.sum()), ids[d]))], ["w1", "w2", "doc"])
 
     return run
 
@@ -124,7 +127,7 @@ def repeats(docs: DataFrame, scratch: Scratch, least: int = LEAST, k: int = SEED
     picked = scratch.put(seeds.join(shared.hint("shuffle_hash"), "anchor", "left_semi").groupBy("doc").agg(F.collect_set("anchor").alias("anchors")), "picked")
     scratch.drop(seeds, shared)
     found = known.join(picked, known["doc_id"] == picked["doc"]).select("doc_id", "text", "anchors")
-    windows = scratch.put(found.mapInArrow(_windows(least, k), "w1 bigint, w2 bigint, doc bigint"), "windows")
+    windows = scratch.put(found.mapInArrow(_windows(least, k), "w1 bigint, w2 int, doc bigint"), "windows")
     scratch.drop(picked)
     lowest = scratch.put(windows.groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("w1", "w2", "lo"), "lowest")
     later = windows.join(lowest.hint("shuffle_hash"), ["w1", "w2"]).where("doc > lo")
