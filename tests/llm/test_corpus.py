@@ -86,6 +86,27 @@ def test_substr_cases(edge, none):
     assert substr.dedup(none).count() == 0
 
 
+@pytest.mark.parametrize(("least", "k"), [(13, 5), (5, 2), (4, 4)])
+def test_substr_by_brute_force(spark, least, k):
+    """Passages cut, shifted, edited and repeated within and across documents; words that recur within a window."""
+    rng = np.random.default_rng(least)
+    source = [prose(800 + i, 40).split() for i in range(6)] + [["a"] * 40, ["a", "b"] * 20, ["x", "y", "z"] * 12]
+    rows = []
+    for i in range(80):
+        words = []
+        for _ in range(rng.integers(0, 5)):
+            part = source[rng.integers(len(source))]
+            a = int(rng.integers(0, len(part)))
+            part = list(part[a : a + int(rng.integers(1, 40))])
+            if len(part) > 3 and rng.random() < 0.4:
+                part[int(rng.integers(len(part)))] = f"e{i}"
+            words += part + prose(900 + i, int(rng.integers(0, 6))).split()
+        rows.append((int(rng.integers(0, 60)), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = collections.Counter(tuple(r)[:4] for r in substr.dedup(docs, least, k).collect())
+    assert got == brute_substr(rows, least)
+
+
 def test_packing_cases(edge, none):
     from tokenizers import Tokenizer
 
