@@ -124,7 +124,7 @@ def runs(docs: DataFrame, scratch: Scratch, least: int = LEAST, chars: int | Non
             if chars is None:
                 continue
             found = found.where(F.col("chars") >= chars)
-        first = scratch.put(found.groupBy("rank").agg(F.min(place()).alias("home")), "first")  # written, so that the join can split a hot rank
+        first = found.groupBy("rank").agg(F.min(place()).alias("home"))
         part = found.join(first, "rank").where(place() > F.col("home")).select("d", "k", "line", "last")
         later = part if later is None else later.union(part)
     w = W.partitionBy("d", "k").orderBy("line")
@@ -138,7 +138,7 @@ def dedup(docs: DataFrame, least: int = LEAST, chars: int | None = CHARS, text:
     """docs with ``text`` shortened, and the column __vc_spans: the deleted spans of lines (null: none)."""
     scratch = Scratch(docs.sparkSession)
     spans = runs(docs, scratch, least, chars, text)
-    bits = scratch.put(sieve(spans, F.xxhash64(F.lit(2), "d", "k")), "sieve")
+    bits = sieve(spans, F.xxhash64(F.lit(2), "d", "k"))
     d, k, held, e, h = free(docs, "__vc_d", "__vc_k", "__vc_held", "__vc_e", "__vc_h")
     keyed = docs.withColumn(d, F.col("doc_id").cast("bigint")).withColumn(k, F.xxhash64(text))
     keyed = marked(keyed, F.xxhash64(F.lit(2), d, k), bits, held)

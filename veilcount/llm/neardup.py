@@ -370,7 +370,7 @@ class _Search:
         first = [F.max(F.when(turn == c, place)).alias(f"l{c}") for c in range(LEADERS)]
         heads = F.transform(F.array_sort(F.array_compact(F.array(*(F.col(f"l{c}") for c in range(LEADERS)))), lambda p, q: F.when(p > q, -1).when(p < q, 1).otherwise(0)), lambda x: x["node"])
         leaders = put(members.join(score, "node").groupBy("key").agg(*first).select("key", heads.alias("heads")), "leaders")
-        met = put(sieve(members, F.xxhash64("node")), "sieve")
+        met = sieve(members, F.xxhash64("node"))
         cards = sifted(nodes, F.xxhash64("node"), met).select("node", "kept", "elements", *(F.col("bins")[i].alias(f"s{i}") for i in range(BINS // 16)), *(x.alias(f"k{b}") for b, x in enumerate(keys)))
         cards = put(cards, "cards")
         return members, leaders, cards.select("node", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in cards.columns[1:]))  # never null: shorter code in joins
@@ -392,7 +392,7 @@ class _Search:
         comps = classes.select(F.col("node").alias("of"), "comp")
         main = leaders.select("key", F.col("heads")[0].alias("head")).join(comps, F.col("head") == F.col("of"), "left").select("key", F.coalesce("comp", "head").alias("main"))
         here = members.where(F.col("n") > 2).join(comps, F.col("node") == F.col("of"), "left").select("key", "band", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        here = put(here.join(put(main, "main"), "key").withColumn("apart", F.col("comp") != F.col("main")).drop("main"), "here")
+        here = put(here.join(main, "key").withColumn("apart", F.col("comp") != F.col("main")).drop("main"), "here")
         still = put(here.where("apart").groupBy("key").agg(F.count("*").alias("s")), "still")
         here = here.join(still, "key").join(cards, "node")
         blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
@@ -409,7 +409,7 @@ class _Search:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b, similarity) of the pairs that are links; each of a node's texts is compared."""
-        met = self.scratch.put(sieve(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), F.xxhash64("node")), "sieve")
+        met = sieve(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), F.xxhash64("node"))
         texts = sifted(self.keyed, F.xxhash64("doc_id"), met).groupBy(F.col("doc_id").alias("node"), "t1", "t2").agg(F.first("text").alias("text"))
         texts = self.scratch.put(texts.select("node", "text"), "texts")
         text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))

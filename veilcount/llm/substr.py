@@ -186,27 +186,27 @@ def repeats(docs: DataFrame, scratch: Scratch, least: int = LEAST, k: int = SEED
 
     def texts(lists: DataFrame) -> DataFrame:
         """(doc_id, text, list) of the documents of lists (doc, list)."""
-        some = sifted(known, F.xxhash64("doc_id"), put(sieve(lists, F.xxhash64("doc")), "sieve"))
+        some = sifted(known, F.xxhash64("doc_id"), sieve(lists, F.xxhash64("doc")))
         return some.join(lists, F.col("doc_id") == F.col("doc")).select("doc_id", "text", "list")
 
-    seeds = put(known.mapInArrow(_seeds(least, k), "anchor bigint, doc bigint"), "seeds")
+    seeds = known.mapInArrow(_seeds(least, k), "anchor bigint, doc bigint")  # made twice, as that costs less than writing them
     shared = put(seeds.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("anchor"), "shared")
     picked = put(seeds.join(shared, "anchor", "left_semi").groupBy("doc").agg(F.collect_set("anchor").alias("list")), "picked")
-    drop(seeds, shared)
+    drop(shared)
     found = put(texts(picked).mapInArrow(_fragments(least, k), "anchor bigint, f1 bigint, f2 int, doc bigint"), "fragments")
     drop(picked)
     first = put(found.groupBy("anchor", "f1", "f2").agg(F.min("doc").alias("home"), F.max("doc").alias("hi")), "first")
     copied = first.where("home < hi").select("f1", "f2", "home")
-    extended = put(found.join(copied, ["f1", "f2"]).where("doc > home").select("doc", F.col("f1").alias("fragment"), F.lit(None).cast("bigint").alias("window")), "extended")
+    extended = found.join(copied, ["f1", "f2"]).where("doc > home").select("doc", F.col("f1").alias("fragment"), F.lit(None).cast("bigint").alias("window"))
     several = put(first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "several")
     ends = put(first.join(several, "anchor", "left_semi").groupBy(F.col("home").alias("doc")).agg(F.collect_set("f1").alias("list")), "ends")
-    drop(found, first, several)
+    drop(several)
     windows = put(texts(ends).mapInArrow(_windows(least, k), "w1 bigint, w2 int, doc bigint"), "windows")
     drop(ends)
     lowest = put(windows.groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("w1", "w2", "lo"), "lowest")
     later = windows.join(lowest, ["w1", "w2"]).where("doc > lo").select("doc", F.lit(None).cast("bigint").alias("fragment"), F.col("w1").alias("window"))
     out = put(extended.union(later).groupBy("doc").agg(F.collect_set("fragment").alias("fragments"), F.collect_set("window").alias("windows")), "repeats")
-    drop(windows, lowest, extended)
+    drop(found, first, windows, lowest)
     return out
 
 
@@ -215,7 +215,7 @@ def dedup(docs: DataFrame, least: int = LEAST, k: int = SEED) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     found = repeats(docs, scratch, least, k)
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    keyed = marked(keyed, F.xxhash64("doc_id"), scratch.put(sieve(found, F.xxhash64("doc")), "sieve"), "held")
+    keyed = marked(keyed, F.xxhash64("doc_id"), sieve(found, F.xxhash64("doc")), "held")
     none = F.lit(None).cast("array<bigint>")
     whole = keyed.where("not held").select("doc_id", "text", none.alias("fragments"), none.alias("windows"))
     held = keyed.where("held").join(found, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "text", "fragments", "windows")
