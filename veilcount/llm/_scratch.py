@@ -63,18 +63,22 @@ class Scratch:
         self.root = f"{base(spark).rstrip('/')}/veilcount-{uuid.uuid4().hex}"
         self.n = 0
         atexit.register(_remove, spark, self.root)
-        # Exchanges of a step that is written to a table are of no use once it is written.
-        self.clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        # Exchanges of a step that is written to a table are of no use once it is written; batches that Python
+        # works on are small, as it cuts them into blocks of about this many rows anyway.
+        self.settings = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
 
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}-{name}"
-        before = self.spark.conf.get(self.clean, None)
-        self.spark.conf.set(self.clean, "true")
+        conf = self.spark.conf
+        before = {k: conf.get(k, None) for k in self.settings}
+        for k, v in self.settings.items():
+            conf.set(k, v)
         try:
             df.write.parquet(path)
         finally:
-            self.spark.conf.set(self.clean, before) if before is not None else self.spark.conf.unset(self.clean)
+            for k, v in before.items():
+                conf.set(k, v) if v is not None else conf.unset(k)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
