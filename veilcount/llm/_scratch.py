@@ -15,6 +15,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Where the shared folder is a mounted one: no file of checksums beside each part, as Parquet has its own, and each new
+#: file costs the executor a process that sets its permissions.
+RAW = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names, with signs added where df has such a column."""
     taken = {c.lower() for c in df.columns}
@@ -75,7 +80,7 @@ class Scratch:
         for k, v in self.settings.items():
             conf.set(k, v)
         try:
-            df.write.parquet(path)
+            df.write.options(**RAW).parquet(path)
         finally:
             for k, v in before.items():
                 conf.set(k, v) if v is not None else conf.unset(k)
