@@ -8,6 +8,7 @@ of bytes, so memory does not depend on how many rows a batch holds.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,6 +29,10 @@ _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _MULT = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _GRAM = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))
 _PIECE = 1 << 20
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library
+    _libc = None
 _tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
@@ -131,6 +136,13 @@ def inside(first: np.ndarray, k: int) -> np.ndarray:
     return np.arange(n) + k <= last[:n]
 
 
+def _release() -> None:
+    """Gives memory that is free back to the system: workers live long, and what they hold counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of consecutive rows of about ``limit`` bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -146,6 +158,7 @@ def blocks(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iter
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
             yield row + i, row + j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             i = j
+    _release()
 
 
 def word_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Words]]:
