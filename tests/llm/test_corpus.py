@@ -311,6 +311,26 @@ def test_near_dedup_weighs_common_shingles_less(spark):
     assert plain == brute_classes(rows, 0.6, hot=1.0) and len(set(plain.values())) == 61
 
 
+def test_pipeline_near_dedup_weighs_every_shingle_by_idf(spark):
+    """A passage that 12 of 400 rows have weighs less than what only one has, and one that two have only a little less."""
+    words = iter(range(10**6))
+    fresh = lambda n: " ".join(f"w{next(words)}" for _ in range(n))
+    common, pair = fresh(150), fresh(150)
+    rows = [(i, f"{common} {fresh(15)}") for i in range(12)] + [(20 + i, f"{pair} {fresh(15)}") for i in range(2)]
+    rows += [(100 + i, fresh(12)) for i in range(384)] + [(None, common), (None, None)]
+    df = collections.Counter(g for _, t in rows for g in shingles(t))
+
+    def alike(x, y):
+        weight = lambda z: sum(c * (1 + math.log((1 + len(rows)) / (1 + df[g]))) for g, c in z.items())
+        return weight(x & y) / weight(x | y)
+
+    texts = {i: shingles(t) for i, t in rows if i is not None}
+    assert alike(texts[0], texts[1]) < 0.79 and alike(texts[20], texts[21]) > 0.81
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    kept = corpus_pipeline.near_dedup(spark, docs, SF).collect()
+    assert {r["doc_id"] for r in kept} == {i for i, _ in rows} - {21} and len(kept) == len(rows) - 1
+
+
 def edited(words, rate, rng):
     return " ".join(f"e{rng.integers(10**9)}" if rng.random() < rate else w for w in words)
 

@@ -5,15 +5,16 @@ is one shingle): weight = term frequency x idf.  Two texts are linked when their
 weighted Jaccard similarity sum(min) / sum(max) is at least ``threshold``; a class
 is a connected component of links, and copies of one text share a class.
 
-idf is min(1, ln((N + 100) / df) / ln(1 / HOT)), at least 0.05: full weight up to a
-document share of HOT = 1/32, falling smoothly towards 0 for what nearly every
-document carries (0.6 at a share of 1/8).  Without the saturation the words that
-differ within a large group of copies would weigh several times as much as those they
-share, and so break up the very groups that are looked for.  The saturation also
-bounds what must be known: only shingles of a share over HOT need their exact df.
-They are found without counting every shingle: what has a share over HOT has one over
-HOT / 2 in some block, and blocks' sums leave a number of candidates bounded by
-2 / HOT times the shingles of a mean document; one more scan counts these exactly.
+idf is 1 + ln((1 + N) / (1 + df)), over all N rows, from the exact document frequency
+of every shingle, and is divided by its value at df = 1, which leaves similarities as
+they are.  Shingles are counted in blocks of ``BLOCK_BYTES`` of texts: a block sends each
+of its distinct shingles once, with the number of its documents that have it, as packed
+hashes to one of ``PARTS`` ranges, so a shingle that every document has is no hot key; a
+range adds up and answers each block with those of its shingles that have df > 1.  No
+task sees more than a block or a range, nothing is gathered or broadcast.  In large groups
+of near copies what differs weighs more than what is shared, as in any tf-idf, so such
+copies must agree in more of their text to be linked.  ``hot`` gives another idf, of full
+weight up to that document share: min(1, ln((N + 100) / df) / ln(1 / hot)), at least 0.05.
 
 Sampling: for each of ``BANDS * ROWS`` hash functions the sampled (shingle, t) of Ioffe
 (2010), with the Gamma(2, 1) variables from quantile tables indexed by hash bits.
@@ -54,11 +55,13 @@ whatever their names.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,19 +74,19 @@ WORDS, THRESHOLD, BANDS, ROWS, BINS, SIGMAS = 5, 0.8, 14, 3, 512, 4.0
 HOT, FLOOR, PSEUDO = 1 / 32, 0.05, 100
 #: Leaders of a bucket, and the most of its members that meet as many others in one task.
 LEADERS, BLOCK = 2, 4096
-#: A block for local frequencies has about this many shingles.
-LOCAL = 1_000_000
+#: Texts whose shingles are counted together, in bytes, and the ranges of hashes that counts are added up in.
+BLOCK_BYTES, PARTS = 1 << 22, 1024
 U = _text.U
 
 
-class Idf(NamedTuple):
-    """idf of the shingles that have less than full weight; keys are sorted."""
+class Frequencies(NamedTuple):
+    """Document frequencies of the shingles that more than one row has; keys are sorted."""
 
     keys: np.ndarray
     values: np.ndarray
 
     def of(self, g: np.ndarray) -> np.ndarray:
-        out = np.ones(len(g))
+        out = np.ones(len(g), np.int64)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, g), len(self.keys) - 1)
             hit = self.keys[at] == g
@@ -91,7 +94,15 @@ class Idf(NamedTuple):
         return out
 
 
-FLAT = Idf(np.zeros(0, U), np.zeros(0))
+def idf(df: np.ndarray, n: int, hot: float | None = None) -> np.ndarray:
+    """Weights of shingles that df of n rows have (see the module's text)."""
+    if hot is None:
+        return (1 + np.log((1 + n) / (1 + df))) / (1 + np.log((1 + n) / 2))
+    out = np.ones(len(df))
+    on = df > hot * n
+    if on.any():
+        out[on] = np.clip(np.log((n + PSEUDO) / df[on]) / np.log(1 / hot), FLOOR, 1)
+    return out
 
 
 def shingles(w: _text.Words, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,6 +120,9 @@ def shingles(w: _text.Words, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np
             found, doc = np.insert(found, at, whole), np.insert(doc, at, short)
     # documents are in order: sort the hashes within each by their leading bits
     order = np.argsort((doc.astype(U) << U(40)) | (found >> U(24))) if len(w.first) <= 1 << 24 else np.lexsort((found, doc))
+    near = (found[order][1:] ^ found[order][:-1]) >> U(24) == 0
+    if (near & (found[order][1:] != found[order][:-1]) & (doc[order][1:] == doc[order][:-1])).any():  # the leading bits don't tell them apart
+        order = np.lexsort((found, doc))
     found, doc = found[order], doc[order]
     new = np.ones(len(found), bool)
     new[1:] = (found[1:] != found[:-1]) | (doc[1:] != doc[:-1])
@@ -226,75 +240,116 @@ def samples(g: np.ndarray, doc: np.ndarray, weight: np.ndarray, m: int, count: i
     return out
 
 
-def _local(share: float, k: int):
-    """Per block of documents: its size, and the shingles that more than share of them have."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Puts a block's name before each row: a run of rows of about BLOCK_BYTES of texts."""
+    name, filled = secrets.randbits(62), 0
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        before = filled + np.cumsum(size) - size
+        filled += int(size.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(name + before // BLOCK_BYTES), *batch.columns], ["block", *batch.schema.names])
 
-    def flush(parts: list[np.ndarray], n: int) -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(parts), return_counts=True)
-        hot = counts > share * n
-        keys, counts = np.concatenate([[0], _text.signed(values[hot])]), np.concatenate([[n], counts[hot]])
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts, pa.int64()), pa.array(np.full(len(keys), n), pa.int64()), pa.array(np.arange(len(keys)) == 0)], ["g", "df", "n", "total"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, n = [], 0
-        for batch in batches:
-            for i, j, w in _text.word_blocks(batch.column(0)):
-                parts.append(shingles(w, k)[0])
-                n += j - i
-                if sum(map(len, parts)) > LOCAL:
-                    yield flush(parts, n)
-                    parts, n = [], 0
-        if n:
-            yield flush(parts, n)
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that hold values[: ends[0]], values[ends[0] : ends[1]] and so on."""
+    offsets = np.concatenate([[0], ends]) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
-    return run
+
+def _unpacked(column: pa.ChunkedArray | pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values that the binary values hold, and how many each one holds."""
+    data = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_binary())
+    if not len(data):
+        return np.zeros(0, kind), np.zeros(0, np.int64)
+    raw = data.buffers()
+    offsets = np.frombuffer(raw[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    held = np.frombuffer(raw[2], np.uint8)[offsets[0] : offsets[-1]] if raw[2] is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(held.tobytes(), kind), np.diff(offsets) // np.dtype(kind).itemsize
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows that agree in the first column and follow each other; a run that goes on in the next batch comes in pieces."""
+    for batch in batches:
+        x = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)]
+        yield from ((int(x[i]), batch.slice(i, j - i)) for i, j in zip(cuts[:-1], cuts[1:], strict=True) if i < j)
 
 
-def _exact(keys: np.ndarray, k: int):
+def _counts(k: int):
+    """Of each block, or of what a task has of it: its distinct shingles by range, and how many documents have them."""
+
+    def flush(block: int, found: list[np.ndarray]) -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate(found), return_counts=True)
+        part = (keys >> U(65 - PARTS.bit_length())).astype(np.int64)
+        ends = np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, len(part)) if len(part) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ends), block, np.int64)), pa.array(part[ends - 1]), _packed(keys, ends), _packed(counts.astype(np.uint32), ends)], ["block", "part", "keys", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(keys), np.int64)
-        for batch in batches:
-            for _, _, w in _text.word_blocks(batch.column(0)):
-                g = shingles(w, k)[0]
-                at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-                counts += np.bincount(at[keys[at] == g], minlength=len(keys))
-        yield pa.RecordBatch.from_arrays([pa.array(_text.signed(keys)), pa.array(counts)], ["g", "df"])
+        now, found = None, []
+        for block, rows in _runs(batches):
+            if found and block != now:
+                yield flush(now, found)
+                found = []
+            now = block
+            found.extend(shingles(w, k)[0] for _, _, w in _text.word_blocks(rows.column(1)))
+        if found:
+            yield flush(now, found)
 
     return run
 
 
-def idf(docs: DataFrame, scratch: Scratch, hot: float = HOT, k: int = WORDS) -> Idf:
-    """idf of all shingles over all rows (see the module's text); two scans at most."""
-    texts = docs.select("text")
-    local = texts.mapInArrow(_local(hot / 2, k), "g bigint, df bigint, n bigint, total boolean").groupBy("g", "total").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
-    local = scratch.put(local, "local")
-    n = local.where("total").agg(F.sum("df")).first()[0] or 0
-    rows = local.where(~F.col("total") & (F.col("df") > hot / 2 * (F.lit(n) + F.col("n")))).select("g").collect()
-    scratch.drop(local)
-    keys = np.sort(np.array([r["g"] for r in rows], np.int64).view(U))
-    if not len(keys):
-        return FLAT
-    counted = texts.mapInArrow(_exact(keys, k), "g bigint, df bigint").groupBy("g").agg(F.sum("df").alias("df")).where(F.col("df") > hot * n).collect()
-    df = {r["g"]: r["df"] for r in counted}
-    keys = np.sort(np.array(list(df), np.int64).view(U))
-    values = np.clip(np.log((n + PSEUDO) / np.array([df[int(g)] for g in _text.signed(keys)], float)) / np.log(1 / hot), FLOOR, 1)
-    return Idf(keys, values)
-
-
-def _sketch(weights: Idf, bands: int, rows: int, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, w in _text.word_blocks(batch.column(3)):
-                g, doc, tf = shingles(w, k)
-                m = j - i
-                share = weights.of(g)
-                keep = np.flatnonzero(w.counts() > 0)
-                bins, kept, elements = sketches(g, doc, tf, share, m)
-                lists = []
-                for x in (samples(g, doc, tf * share, m, rows * bands), bins):
-                    flat = _text.signed(x)[keep]
-                    lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * flat.shape[1], pa.int32()), pa.array(flat.reshape(-1))))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, m).take(pa.array(keep)) for c in range(3)), *lists, *(pa.array(x[keep].astype(float)) for x in (kept, elements))], ["doc_id", "t1", "t2", "sig", "bins", "kept", "elements"])
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of ranges in order: to each block its shingles that more than one row has, and their document frequencies."""
+
+    def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        keys, sizes = _unpacked(table["keys"], U)
+        counts = _unpacked(table["counts"], np.uint32)[0].astype(np.int64)
+        order = np.argsort(keys)
+        inner = keys[order]
+        first = np.flatnonzero(np.append(True, inner[1:] != inner[:-1]))
+        df = np.empty(len(keys), np.int64)
+        df[order] = np.repeat(np.add.reduceat(counts[order], first), np.diff(first, append=len(keys)))
+        many = df > 1
+        ends = np.cumsum(np.add.reduceat(many, np.cumsum(sizes) - sizes, dtype=np.int64))
+        return pa.RecordBatch.from_arrays([table["block"].combine_chunks(), _packed(keys[many], ends), _packed(df[many], ends)], ["block", "keys", "df"])
+
+    now, held = None, []
+    for part, rows in _runs(batches):
+        if held and part != now:
+            yield flush(held)
+            held = []
+        now = part
+        held.append(rows)
+    if held:
+        yield flush(held)
+
+
+def _sketch(n: int, hot: float | None, bands: int, rows: int, k: int):
+    """Samples and sketches of a block's documents, and the document frequencies of their distinct shingles in order."""
+    kinds = [("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("sig", pa.list_(pa.int64())), ("bins", pa.list_(pa.int64())), ("kept", pa.float64()), ("elements", pa.float64()), ("df", pa.binary())]
+    schema = pa.schema(kinds)
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, values = _unpacked(answers["keys"], U)[0], _unpacked(answers["df"], np.int64)[0]
+        order = np.argsort(keys)
+        known = Frequencies(keys[order], values[order])
+        out = []
+        for i, j, w in _text.word_blocks(docs["text"]):
+            g, doc, tf = shingles(w, k)
+            m = j - i
+            df = known.of(g)
+            share = idf(df, n, hot)
+            keep = np.flatnonzero(w.counts() > 0)
+            bins, kept, elements = sketches(g, doc, tf, share, m)
+            lists = []
+            for x in (samples(g, doc, tf * share, m, rows * bands), bins):
+                flat = _text.signed(x)[keep]
+                lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * flat.shape[1], pa.int32()), pa.array(flat.reshape(-1))))
+            names = (docs[c].slice(i, m).combine_chunks().take(pa.array(keep)) for c in ("doc_id", "t1", "t2"))
+            ends = np.searchsorted(doc, keep, "right")
+            out.append(pa.RecordBatch.from_arrays([*names, *lists, *(pa.array(x[keep].astype(float)) for x in (kept, elements)), _packed(np.minimum(df, 0xFFFFFFFF).astype(np.uint32), ends)], schema=schema))
+        return pa.Table.from_batches(out, schema)
 
     return run
 
@@ -307,18 +362,19 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(low / total) if total else 0.0
 
 
-def _verify(weights: Idf, k: int):
-    def sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i, j, w in _text.word_blocks(column):
+def _verify(n: int, hot: float | None, k: int):
+    def sets(texts: pa.Array, dfs: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, j, w in _text.word_blocks(texts):
             g, doc, tf = shingles(w, k)
-            weight = tf * weights.of(g)
+            weight = tf * idf(_unpacked(dfs.slice(i, j - i), np.uint32)[0].astype(np.int64), n, hot)
             at = np.searchsorted(doc, np.arange(j - i + 1))
             yield from ((g[p:q], weight[p:q]) for p, q in zip(at[:-1], at[1:], strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            j = np.array([similarity(a, b) for a, b in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True)], float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(j)], ["a", "b", "similarity"])
+            a, b, text_a, text_b, df_a, df_b = batch.columns
+            j = np.array([similarity(x, y) for x, y in zip(sets(text_a, df_a), sets(text_b, df_b), strict=True)], float)
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(j)], ["a", "b", "similarity"])
 
     return run
 
@@ -339,21 +395,27 @@ class Found(NamedTuple):
 class _Search:
     """The steps of ``search``; tables that later steps read are written, so lost executors cost one step."""
 
-    def __init__(self, docs: DataFrame, threshold: float, bands: int, rows: int, hot: float, k: int, sigmas: float | None):
+    def __init__(self, docs: DataFrame, threshold: float, bands: int, rows: int, hot: float | None, k: int, sigmas: float | None):
         self.scratch = Scratch(docs.sparkSession)
         self.threshold, self.bands, self.rows, self.k, self.sigmas = threshold, bands, rows, k, sigmas
-        named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text")).where("doc_id is not null and text is not null")
-        self.keyed = named.select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"), "text")
-        self.weights = idf(docs, self.scratch, hot, k)
+        self.hot, self.n = hot, docs.count()
+        texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+        self.blocks = self.scratch.put(texts.mapInArrow(_blocks, "block bigint, doc_id bigint, text string"), "blocks")
+        self.keyed = self.blocks.where("doc_id is not null").select("block", "doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"), "text")
 
     def nodes(self) -> tuple[DataFrame, DataFrame]:
         """One row per text, named by its smallest doc_id, with its samples and sketch; and which document has which text."""
         put = self.scratch.put
-        sketch = put(self.keyed.mapInArrow(_sketch(self.weights, self.bands, self.rows, self.k), "doc_id bigint, t1 bigint, t2 bigint, sig array<bigint>, bins array<bigint>, kept double, elements double"), "sketch")
+        counts = self.blocks.select("block", "text").mapInArrow(_counts(self.k), "block bigint, part bigint, keys binary, counts binary")
+        ranges = counts.select("part", "block", "keys", "counts").repartition("part").sortWithinPartitions("part")
+        answers = put(ranges.mapInArrow(_answers, "block bigint, keys binary, df binary").where("length(keys) > 0"), "answers")
+        weigh = _sketch(self.n, self.hot, self.bands, self.rows, self.k)
+        sketch = self.keyed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(weigh, "doc_id bigint, t1 bigint, t2 bigint, sig array<bigint>, bins array<bigint>, kept double, elements double, df binary")
+        self.sketch = sketch = put(sketch, "sketch")
+        self.scratch.drop(answers)
         nodes = put(sketch.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("sig", "bins", "kept", "elements"))), "nodes")
         reps = nodes.select("t1", "t2", F.col("node").alias("rep"))
         same = put(sketch.select("doc_id", "t1", "t2").join(reps, ["t1", "t2"]).select("doc_id", "rep", (F.col("doc_id") == F.col("rep")).alias("lead")).distinct(), "same")
-        self.scratch.drop(sketch)
         return nodes, same
 
     def buckets(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -410,15 +472,17 @@ class _Search:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """(a, b, similarity) of the pairs that are links; each of a node's texts is compared."""
         met = sieve(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), F.xxhash64("node"))
-        texts = sifted(self.keyed, F.xxhash64("doc_id"), met).groupBy(F.col("doc_id").alias("node"), "t1", "t2").agg(F.first("text").alias("text"))
-        texts = self.scratch.put(texts.select("node", "text"), "texts")
-        text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-        both = pairs.select("a", "b").join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
-        found = both.mapInArrow(_verify(self.weights, self.k), "a bigint, b bigint, similarity double").where(F.col("similarity") >= self.threshold)
+        place = ("doc_id", "t1", "t2")
+        texts = sifted(self.keyed, F.xxhash64("doc_id"), met).groupBy(*place).agg(F.first("text").alias("text"))
+        dfs = sifted(self.sketch, F.xxhash64("doc_id"), met).groupBy(*place).agg(F.first("df").alias("df"))
+        texts = self.scratch.put(texts.join(dfs, list(place)).select(F.col("doc_id").alias("node"), "text", "df"), "texts")
+        text = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"), F.col("df").alias(f"df_{c}"))
+        both = pairs.select("a", "b").join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b", "df_a", "df_b")
+        found = both.mapInArrow(_verify(self.n, self.hot, self.k), "a bigint, b bigint, similarity double").where(F.col("similarity") >= self.threshold)
         return self.scratch.put(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "links")
 
 
-def search(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, hot: float = HOT, k: int = WORDS, sigmas: float | None = SIGMAS) -> Found:
+def search(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, hot: float | None = None, k: int = WORDS, sigmas: float | None = SIGMAS) -> Found:
     at = _Search(docs, threshold, bands, rows, hot, k, sigmas)
     put = at.scratch.put
     nodes, same = at.nodes()
@@ -433,6 +497,7 @@ def search(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
         if not late.isEmpty():
             over = more.join(late.select("a", "b"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
             classes = put(_joined(classes, components(over, at.scratch)), "classes")
+    at.scratch.drop(at.sketch, at.blocks)
     documents = same.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     # rows of one doc_id with different texts tie those texts together
     ties = same.where("doc_id <> rep").join(same.where("lead").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
