@@ -360,6 +360,40 @@ def test_near_dedup_of_a_group_about_the_threshold(spark, monkeypatch, block):
     assert lost == 0, (lost, len(set(up)), len(set(got.values())))
 
 
+@pytest.mark.parametrize("copies", [1, 2])
+def test_near_dedup_of_a_group_below_the_threshold_compares_few_pairs(spark, monkeypatch, copies):
+    """400 short copies of one text, most alike at about 0.7 under idf: sketches alone leave a large part of all pairs to be verified."""
+    rng = np.random.default_rng(4)
+    words = prose(71, 150).split()
+    rows = []
+    for i in range(400):
+        w, n = list(words), rng.choice([1, 2, 3], p=[0.35, 0.5, 0.15])
+        for at in rng.choice(len(w), n, replace=False):
+            w[at] = f"e{rng.integers(10**9)}"
+        rows += [(1000 * c + i, " ".join(w)) for c in range(copies)]
+    rows += [(10000 + i, prose(9000 + i, 8)) for i in range(4000)]
+    df = collections.Counter(g for _, t in rows for g in shingles(t))
+    names = {g: k for k, g in enumerate(df)}
+    weight = np.array([1 + math.log((1 + len(rows)) / (1 + c)) for c in df.values()])
+    a = np.zeros((400, len(names)))
+    for i, (_, t) in enumerate(r for r in rows if r[0] < 400):
+        assert max(shingles(t).values()) == 1
+        a[i, [names[g] for g in shingles(t)]] = 1
+    common, size = (a * weight) @ a.T, a @ weight
+    alike = common / (size[:, None] + size - common)
+    links = alike >= 0.8 - 1e-9
+    assert 0.6 < np.median(alike) < 0.75 and links.sum() > 440
+    up = np.arange(400)
+    for _ in range(50):
+        up = np.array([up[x].min() for x in links])
+    pairs, verified = [], neardup._Search.verified
+    monkeypatch.setattr(neardup._Search, "verified", lambda self, x: pairs.append(x.count()) or verified(self, x))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()}
+    assert all(got[1000 * c + i] == up[i] for i in range(400) for c in range(copies))
+    assert sum(pairs) < links.sum() + 400 * 5, pairs
+
+
 def test_consistent_sampling_follows_weighted_similarity():
     rng = np.random.default_rng(4)
     g = np.sort(rng.integers(0, 2**63, 300, dtype=np.uint64))

@@ -23,8 +23,12 @@ similarity 0.8 a link is missed by banding with probability 0.488^14 = 4e-5.  Be
 whole texts are compared, one-permutation sketches of 512 bins sort out pairs that
 are more than ``SIGMAS`` standard deviations below the threshold.  The sketch is of
 (shingle, occurrence) pairs, each kept with its idf as probability by a hash of its
-own, so agreement of two sketches estimates the weighted similarity; ``sigmas=None``
-turns it off.  What is left is verified on whole texts.
+own, so agreement of two sketches estimates the weighted similarity.  A sketch of few
+elements lets much pass that is not alike, so two bounds that hold without exception come
+with it: what two texts share is no more than what either has of shingles with df > 1, as
+one with df = 1 is in no other text, and no more than the sum, over ``SHARES`` classes of
+such shingles by hash, of the smaller of their weights in the class.  ``sigmas=None`` turns
+sketches and bounds off.  What is left is verified on whole texts.
 
 Groups: no bucket is gathered or expanded into all its pairs.
 1. Leaders.  In each bucket the most central member (by the sizes of all buckets that
@@ -39,7 +43,7 @@ Groups: no bucket is gathered or expanded into all its pairs.
    bucket, however large that is; what passes the sketches is verified.
 So every candidate pair is either compared or already joined through others.  The
 second step costs the square of a group only in members that no leader reaches and
-that are alike in sketches, that is, of a group whose members lie just below the
+that sketches and bounds leave, that is, of a group whose members lie just below the
 threshold.  Texts of documents without a surviving pair are not shuffled: a bitmap of
 fixed size, by hash of doc_id, sorts most of them out where they are read (were it
 full, rows would take the exact join as they would without it).
@@ -74,6 +78,10 @@ WORDS, THRESHOLD, BANDS, ROWS, BINS, SIGMAS = 5, 0.8, 14, 3, 512, 4.0
 HOT, FLOOR, PSEUDO = 1 / 32, 0.05, 100
 #: Leaders of a bucket, and the most of its members that meet as many others in one task.
 LEADERS, BLOCK = 2, 4096
+#: Classes of shingles in which weights are added up to bound what two texts share.
+SHARES = 64
+#: What sketches and bounds compare of two texts, beside the sketch.
+CARD = ("kept", "elements", "total", "shared", "shares")
 #: Texts whose shingles are counted together, in bytes, and the ranges of hashes that counts are added up in.
 BLOCK_BYTES, PARTS = 1 << 22, 1024
 U = _text.U
@@ -186,6 +194,22 @@ def _alike(x: str, y: str, threshold: float, sigmas: float) -> Column:
     return other <= f * (14 / 15 * (1 - threshold)) + sigmas * spread + 1
 
 
+def _allowed(common: Column, x: str, y: str, threshold: float) -> Column:
+    """Whether two texts that share at most ``common`` can be alike; the sums' last digits may be off."""
+    return common * (1 + threshold) >= (F.col(f"{x}.total") + F.col(f"{y}.total")) * (threshold * (1 - 1e-5))
+
+
+def _rare(x: str, y: str, threshold: float) -> Column:
+    """Whether each text has enough of shingles that another row has too."""
+    return _allowed(F.least(F.col(f"{x}.shared"), F.col(f"{y}.shared")), x, y, threshold)
+
+
+def _close(x: str, y: str, threshold: float) -> Column:
+    """Whether the weights of the classes of shingles let two texts share enough."""
+    least = F.zip_with(F.col(f"{x}.shares"), F.col(f"{y}.shares"), lambda p, q: F.least(p, q))
+    return _allowed(F.aggregate(least, F.lit(0.0), lambda s, v: s + v), x, y, threshold)
+
+
 _tables: list[np.ndarray] = []
 
 
@@ -325,9 +349,14 @@ def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(held)
 
 
+def _lists(x: np.ndarray) -> pa.Array:
+    """The rows of x."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1)))
+
+
 def _sketch(n: int, hot: float | None, bands: int, rows: int, k: int):
     """Samples and sketches of a block's documents, and the document frequencies of their distinct shingles in order."""
-    kinds = [("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("sig", pa.list_(pa.int64())), ("bins", pa.list_(pa.int64())), ("kept", pa.float64()), ("elements", pa.float64()), ("df", pa.binary())]
+    kinds = [("doc_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64()), ("sig", pa.list_(pa.int64())), ("bins", pa.list_(pa.int64())), ("kept", pa.float64()), ("elements", pa.float64()), ("total", pa.float64()), ("shared", pa.float64()), ("shares", pa.list_(pa.float32())), ("df", pa.binary())]
     schema = pa.schema(kinds)
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -342,13 +371,13 @@ def _sketch(n: int, hot: float | None, bands: int, rows: int, k: int):
             share = idf(df, n, hot)
             keep = np.flatnonzero(w.counts() > 0)
             bins, kept, elements = sketches(g, doc, tf, share, m)
-            lists = []
-            for x in (samples(g, doc, tf * share, m, rows * bands), bins):
-                flat = _text.signed(x)[keep]
-                lists.append(pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * flat.shape[1], pa.int32()), pa.array(flat.reshape(-1))))
+            weight, many = tf * share, df > 1
+            shares = np.bincount(doc[many] * SHARES + (g[many] % U(SHARES)).astype(np.int64), weight[many], m * SHARES).reshape(m, SHARES)
+            sums = (kept, elements, np.bincount(doc, weight, m), shares.sum(axis=1))
+            lists = [_lists(x[keep]) for x in (_text.signed(samples(g, doc, weight, m, rows * bands)), _text.signed(bins), shares.astype(np.float32))]
             names = (docs[c].slice(i, m).combine_chunks().take(pa.array(keep)) for c in ("doc_id", "t1", "t2"))
             ends = np.searchsorted(doc, keep, "right")
-            out.append(pa.RecordBatch.from_arrays([*names, *lists, *(pa.array(x[keep].astype(float)) for x in (kept, elements)), _packed(np.minimum(df, 0xFFFFFFFF).astype(np.uint32), ends)], schema=schema))
+            out.append(pa.RecordBatch.from_arrays([*names, *lists[:2], *(pa.array(x[keep].astype(float)) for x in sums), lists[2], _packed(np.minimum(df, 0xFFFFFFFF).astype(np.uint32), ends)], schema=schema))
         return pa.Table.from_batches(out, schema)
 
     return run
@@ -410,10 +439,11 @@ class _Search:
         ranges = counts.select("part", "block", "keys", "counts").repartition("part").sortWithinPartitions("part")
         answers = put(ranges.mapInArrow(_answers, "block bigint, keys binary, df binary").where("length(keys) > 0"), "answers")
         weigh = _sketch(self.n, self.hot, self.bands, self.rows, self.k)
-        sketch = self.keyed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(weigh, "doc_id bigint, t1 bigint, t2 bigint, sig array<bigint>, bins array<bigint>, kept double, elements double, df binary")
-        self.sketch = sketch = put(sketch, "sketch")
+        sketch = self.keyed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(weigh, "doc_id bigint, t1 bigint, t2 bigint, sig array<bigint>, bins array<bigint>, kept double, elements double, total double, shared double, shares array<float>, df binary")
+        keys = [F.xxhash64(F.lit(b), *(F.col("sig")[self.rows * b + r] for r in range(self.rows))) for b in range(self.bands)]
+        self.sketch = sketch = put(sketch.withColumn("sig", F.array(*keys)).withColumnRenamed("sig", "keys"), "sketch")
         self.scratch.drop(answers)
-        nodes = put(sketch.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("sig", "bins", "kept", "elements"))), "nodes")
+        nodes = put(sketch.groupBy("t1", "t2").agg(F.min("doc_id").alias("node"), *(F.first(c).alias(c) for c in ("keys", "bins", *CARD))), "nodes")
         reps = nodes.select("t1", "t2", F.col("node").alias("rep"))
         same = put(sketch.select("doc_id", "t1", "t2").join(reps, ["t1", "t2"]).select("doc_id", "rep", (F.col("doc_id") == F.col("rep")).alias("lead")).distinct(), "same")
         return nodes, same
@@ -421,9 +451,8 @@ class _Search:
     def buckets(self, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Members (key, band, node, n, score) of buckets with two nodes at least, the buckets' leaders (key, heads), and
         the sketches of members."""
-        put, rows = self.scratch.put, self.rows
-        keys = [F.xxhash64(F.lit(b), *(F.col("sig")[rows * b + r] for r in range(rows))) for b in range(self.bands)]
-        rungs = nodes.select("node", F.posexplode(F.array(*keys)).alias("band", "key"))
+        put = self.scratch.put
+        rungs = nodes.select("node", F.posexplode("keys").alias("band", "key"))
         sizes = put(rungs.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key", "n"), "sizes")
         members = put(rungs.join(sizes, "key").select("key", "band", "node", "n"), "members")
         score = members.groupBy("node").agg(F.sum("n").alias("score"))
@@ -433,23 +462,26 @@ class _Search:
         heads = F.transform(F.array_sort(F.array_compact(F.array(*(F.col(f"l{c}") for c in range(LEADERS)))), lambda p, q: F.when(p > q, -1).when(p < q, 1).otherwise(0)), lambda x: x["node"])
         leaders = put(members.join(score, "node").groupBy("key").agg(*first).select("key", heads.alias("heads")), "leaders")
         met = sieve(members, F.xxhash64("node"))
-        cards = sifted(nodes, F.xxhash64("node"), met).select("node", "kept", "elements", *(F.col("bins")[i].alias(f"s{i}") for i in range(BINS // 16)), *(x.alias(f"k{b}") for b, x in enumerate(keys)))
+        cards = sifted(nodes, F.xxhash64("node"), met).select("node", *CARD, *(F.col("bins")[i].alias(f"s{i}") for i in range(BINS // 16)), *(F.col("keys")[b].alias(f"k{b}") for b in range(self.bands)))
         cards = put(cards, "cards")
-        return members, leaders, cards.select("node", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in cards.columns[1:]))  # never null: shorter code in joins
+        return members, leaders, cards.select("node", "shares", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in cards.columns if c not in ("node", "shares")))  # never null: shorter code in joins
+
+    def rare(self, x: str, y: str) -> Column:
+        return F.lit(True) if self.sigmas is None else _rare(x, y, self.threshold)
 
     def alike(self, x: str, y: str) -> Column:
-        return F.lit(True) if self.sigmas is None else _alike(x, y, self.threshold, self.sigmas)
+        return F.lit(True) if self.sigmas is None else _alike(x, y, self.threshold, self.sigmas) & _close(x, y, self.threshold)
 
     def led(self, members: DataFrame, leaders: DataFrame, cards: DataFrame) -> DataFrame:
-        """(a, b): members and their buckets' leaders, each pair once, where sketches allow a link."""
+        """(a, b): members and their buckets' leaders, each pair once, where sketches and bounds allow a link."""
         each = members.join(leaders, "key").select("node", F.explode("heads").alias("head")).where("node <> head")
         pairs = each.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-        bins = cards.select("node", "kept", "elements", *(f"s{i}" for i in range(BINS // 16)))
+        bins = cards.select("node", *CARD, *(f"s{i}" for i in range(BINS // 16)))
         x, y = bins.alias("x"), bins.alias("y")
-        return pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & self.alike("x", "y")).select("a", "b")
+        return pairs.join(x, F.col("a") == F.col("x.node")).join(y, (F.col("b") == F.col("y.node")) & self.rare("x", "y") & self.alike("x", "y")).select("a", "b")
 
     def rest(self, members: DataFrame, leaders: DataFrame, cards: DataFrame, classes: DataFrame) -> DataFrame:
-        """(a, b, ca, cb): of buckets that still have several components, all pairs that sketches allow."""
+        """(a, b, ca, cb): of buckets that still have several components, all pairs that sketches and bounds allow."""
         put, none = self.scratch.put, F.lit(0)
         comps = classes.select(F.col("node").alias("of"), "comp")
         main = leaders.select("key", F.col("heads")[0].alias("head")).join(comps, F.col("head") == F.col("of"), "left").select("key", F.coalesce("comp", "head").alias("main"))
@@ -466,7 +498,7 @@ class _Search:
         first = sum((((F.col("x.band") > b) & (F.col(f"x.k{b}") == F.col(f"y.k{b}"))).cast("int") for b in range(self.bands - 1)), none) == 0
         once = (F.col("x.comp") != F.col("y.comp")) & (~F.col("y.apart") | (F.col("x.node") < F.col("y.node")))
         same = (F.col("x.key") == F.col("y.key")) & (F.col("x.bx") == F.col("y.bx")) & (F.col("x.by") == F.col("y.by"))
-        pairs = x.join(y, same & once & first & self.alike("x", "y"))
+        pairs = x.join(y, same & once & self.rare("x", "y") & first & self.alike("x", "y"))
         return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.comp", "y.comp").alias("ca"), F.greatest("x.comp", "y.comp").alias("cb")).distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
